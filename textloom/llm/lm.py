@@ -31,7 +31,7 @@ from .runtime import map_arrow, n_parts, part_of
 
 _END = np.uint64(0x51ED270B7C3A9D11)
 _BEGIN = np.uint64(0xA0761D6478BD642F)
-BLOCKS_PER_PART = 4
+BLOCKS_PER_PART = 2
 STRENGTH = 8.0
 
 
