@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import _SPACE, Block, blocks, mix
@@ -102,3 +102,16 @@ def document_stats(docs: DataFrame, columns: tuple[str, ...] = BASE, id_col: str
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(got[c]) for c in columns)], schema=schema)
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, ddl)
+
+
+def stats_struct(text: Column, columns: tuple[str, ...] = BASE + MORE) -> Column:
+    """The statistics as one struct column beside all others; no name can clash."""
+    from pyspark.sql.pandas.functions import arrow_udf
+
+    @arrow_udf("struct<" + ",".join(f"{c}:bigint" for c in columns) + ">")
+    def run(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        got = [block_stats(block) for _, block in blocks(batch)]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([g[c] for g in got]) if got else np.zeros(0, np.int64)) for c in columns], names=list(columns))
+
+    return run(text.cast("string"))
