@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import checkpointed
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -98,6 +100,8 @@ def judge(
     shapes = base.groupBy("host", "__shape", "__segs").agg(
         F.count("__given").alias("labelled"), F.count(F.when(F.col("__given") == "block", 1)).alias("blocked")
     )
+    # a few rows a host; cut here so that the plan does not double at every level
+    shapes = checkpointed(shapes)
     # top down: which names below a node are a variable
     tree = shapes.withColumn("__at", F.lit(""))
     for level in range(1, depth + 1):
@@ -111,7 +115,7 @@ def judge(
         tree = tree.withColumn("__at", F.when(F.col("__name") == "", F.col("__at")).otherwise(F.concat("__at", F.lit("/"), step))).drop("__var", "__name")
     rest = F.array_join(F.slice("__segs", depth + 1, 1_000_000), "/")
     tree = tree.withColumn("template", F.concat(F.when(F.col("__at") == "", "/").otherwise(F.col("__at")), F.when(rest != "", F.concat(F.lit("/"), rest)).otherwise("")))
-    tree = tree.select("host", "__shape", "labelled", "blocked", "template")
+    tree = checkpointed(tree.select("host", "__shape", "labelled", "blocked", "template"))
 
     # merge branches below one parent whose blocked shares cannot be told apart
     leaf = tree.groupBy("host", "template").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
