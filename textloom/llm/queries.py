@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, license_scan, lm, packing, quality_rules, rule_classifier, substring_dedup, url_filter
+from . import chat, decontam, license_scan, lm, ngram_join, packing, quality_rules, rule_classifier, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.class_links(_table(spark, sf_dir, "documents"), 4, 85)
+
+
 URL_RULES = (
     url_filter.UrlRule("allow", "com", "/"),
     url_filter.UrlRule("block", "example.com", "/en/"),
@@ -81,6 +85,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_license_scan": op2_license_scan,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,
