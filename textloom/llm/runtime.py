@@ -17,15 +17,23 @@ def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder named in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
 
-    A folder of our own is made only where the session names none, as in tests.
+    One of our own is made only where the session names none, as in tests.
     """
-    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
+    return str(context.getCheckpointDir()).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
