@@ -17,7 +17,7 @@ from ..functions.stop_words import FALLBACK, QUERY
 from ..functions.text import tidy_description
 from ..operators import boolean, graph, index, phrase, relevance
 from ..shipping import ship
-from .parser import ParsedQuery, normalize_operators, parse_query
+from .parser import ParsedQuery, normalize_operators, parse_query, query_terms
 
 CACHED_QUERIES = 500
 MAX_RESULTS = 1000
@@ -116,7 +116,8 @@ class SearchEngine:
     def page(self, q: ParsedQuery, page: int = 1, size: int = 25) -> DataFrame:
         """``doc_id, url, title, score, snippet, description`` of one page; text work is for that page only."""
         rows = index.page_slice(self.scored(q), page, size).join(self.docs, "doc_id")
-        terms = list(q.terms) or [w for p in q.phrases for w in p.lower().split()]
+        # the query's own words, since a stem is no word of the text to mark
+        terms = list(query_terms(q.original, self.query_stop, False)) if q.kind == "keyword" else [w for p in q.phrases for w in p.lower().split()]
         snippet = snippet_column(F.col("text"), terms, q.phrases[0] if q.kind == "phrase" else None)
         paragraphs = F.transform(F.filter("elements", lambda e: e["tag"] == "p"), lambda e: e["text"]) if self.from_html else F.array(F.col("text"))
         shown = rows.select("doc_id", "url", "title", "score", snippet.alias("snippet"), tidy_description(description_column(paragraphs, "text")).alias("description"))

@@ -29,15 +29,20 @@ def index_batches(documents: DataFrame, read: Callable[[SparkSession], DataFrame
     return documents.writeStream.foreachBatch(one)
 
 
+def _stamped(events: DataFrame, late: str) -> DataFrame:
+    """On a stream, event time with a watermark, which takes no time without a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Tumbling counts and sums per type; on a stream, late rows within ``late`` still count."""
-    stamped = events.withWatermark("ts", late) if events.isStreaming else events
+    stamped = _stamped(events, late)
     out = stamped.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Sessions of each user, ended by a pause of ``gap``."""
-    stamped = events.withWatermark("ts", gap) if events.isStreaming else events
+    stamped = _stamped(events, gap)
     out = stamped.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n_events"))
     return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
