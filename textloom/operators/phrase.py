@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,14 +26,15 @@ def positional(tokens: DataFrame, words: Sequence[str], strict: bool = False) ->
     return starts.where(F.col("n") == len(words)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hits"))
 
 
-def literal(docs: DataFrame, post: DataFrame, phrase: str, stop: Sequence[str], candidates: int | None = None, limit: int | None = None) -> DataFrame:
+def literal(docs: DataFrame, post: DataFrame, phrase: str, stop: Sequence[str], candidates: int | None = None, limit: int | None = None, form: Callable[[str], str] = str) -> DataFrame:
     """Documents with the phrase in title or text, found through the postings of its first meaningful word.
 
+    ``form`` turns a word into the index's term (a stemmer for a stemmed index).
     ``candidates`` and ``limit`` cut, in order of id, only if given.
     """
     words = phrase.lower().split()
     probe = next((w for w in words if w not in set(stop)), words[0] if words else "")
-    near = boolean.having_term(post, probe)
+    near = boolean.having_term(post, form(probe))
     near = near.orderBy("doc_id").limit(candidates) if candidates else near
     low = phrase.lower()
     found = docs.join(near, "doc_id", "left_semi").where(F.lower("text").contains(low) | F.lower("title").contains(low))
@@ -55,12 +56,12 @@ def stripped(phrase: str, stop: Sequence[str]) -> list[str]:
     return [w for w in phrase.lower().split() if w not in set(stop)]
 
 
-def combine(docs: DataFrame, post: DataFrame, phrases: Sequence[str], operator: str, stop: Sequence[str]) -> DataFrame:
+def combine(docs: DataFrame, post: DataFrame, phrases: Sequence[str], operator: str, stop: Sequence[str], form: Callable[[str], str] = str) -> DataFrame:
     """``doc_id`` of the phrases' documents under AND, OR or NOT (the first two phrases only)."""
     sides = []
     for p in phrases:
         words = stripped(p, stop)
-        sides.append(literal(docs, post, " ".join(words), stop).select("doc_id") if words else docs.select("doc_id").limit(0))
+        sides.append(literal(docs, post, " ".join(words), stop, form=form).select("doc_id") if words else docs.select("doc_id").limit(0))
     if operator == "AND":
         return reduce(boolean.both, sides).distinct()
     if operator == "OR":
@@ -68,27 +69,27 @@ def combine(docs: DataFrame, post: DataFrame, phrases: Sequence[str], operator:
     return boolean.first_only(sides[0], sides[1])
 
 
-def combined_score(matches: DataFrame, docs: DataFrame, post: DataFrame, stats: DataFrame, phrases: Sequence[str], stop: Sequence[str]) -> DataFrame:
+def combined_score(matches: DataFrame, docs: DataFrame, post: DataFrame, stats: DataFrame, phrases: Sequence[str], stop: Sequence[str], form: Callable[[str], str] = str) -> DataFrame:
     """tf times plain idf word after word, four times if the title has it, doubled after each phrase found whole.
 
     A word that the index knows but the document lacks ends the sum where it is.
     """
     order = [(i, w) for i, p in enumerate(phrases) for w in [*stripped(p, stop), None]]
-    words = sorted({w for _, w in order if w})
+    words = sorted({form(w) for _, w in order if w})
     wanted = post.where(F.col("term").isin(*words)).join(F.broadcast(stats.where(F.col("term").isin(*words)).select("term", "idf_plain")), "term")
     known = stats.where(F.col("term").isin(*words)).agg(F.collect_set("term").alias("__known"))
     freq = wanted.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("frequency", "idf_plain")))).alias("__f"))
     rows = docs.join(matches, "doc_id", "left_semi").join(freq, "doc_id", "left").join(F.broadcast(known))
     title, text = F.lower("title"), F.lower("text")
     length = word_count(text)
-    steps = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(i).alias("i")) for i, w in order))
+    steps = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(None if w is None else form(w)).cast("string").alias("t"), F.lit(i).alias("i")) for i, w in order))
     whole = F.array(*(title.contains(p.lower()) | text.contains(p.lower()) for p in phrases))
     state = F.struct(F.lit(0.0).alias("score"), F.lit(False).alias("done"))
 
     def step(acc: Column, s: Column) -> Column:
-        own = F.element_at("__f", s["w"])
+        own = F.element_at("__f", s["t"])
         gain = own["frequency"] / length * own["idf_plain"]
-        known_word = F.array_contains("__known", s["w"])
+        known_word = F.array_contains("__known", s["t"])
         missing = known_word & own.isNull()
         new = (
             F.when(acc["done"], acc["score"])

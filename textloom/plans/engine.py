@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import time
 from collections import OrderedDict
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.snippets import description_column, snippet_column
+from ..functions.stem import porter
 from ..functions.stop_words import FALLBACK, QUERY
 from ..functions.text import tidy_description
 from ..operators import boolean, graph, index, phrase, relevance
@@ -32,6 +33,8 @@ class SearchEngine:
     query_stop: Sequence[str] = tuple(QUERY)
     stem: bool = True
     parts: bool = True
+    #: look phrases up by their unstemmed first word, as a stemmed index then often cannot answer
+    strict: bool = False
 
     def __post_init__(self) -> None:
         ship(self.docs.sparkSession)
@@ -59,6 +62,11 @@ class SearchEngine:
     def stats(self) -> DataFrame:
         return index.term_stats(self.postings, index.count_documents(self.docs)).persist()
 
+    @property
+    def form(self) -> Callable[[str], str]:
+        """How a query's word looks in the index."""
+        return porter if self.stem and not self.strict else str
+
     def metrics(self) -> DataFrame:
         return index.metrics(self.postings, self.stats, self.lengths)
 
@@ -94,21 +102,13 @@ class SearchEngine:
             return score.join(near, "doc_id").select("doc_id", (F.col("score") + F.col("bonus")).alias("score"))
         if q.kind == "phrase" and q.phrases[0].strip():
             words = q.phrases[0].lower().split()
-            probe = next((w for w in words if w not in set(self.query_stop)), words[0])
-            post = self.postings
-            if self.stem:
-                from ..functions.stem import porter
-
-                post, probe = post, porter(probe)
-            low = q.phrases[0].lower()
-            near = boolean.having_term(post, probe)
-            found = self.docs.join(near, "doc_id", "left_semi").where(F.lower("text").contains(low) | F.lower("title").contains(low))
+            found = phrase.literal(self.docs, self.postings, q.phrases[0], self.query_stop, form=self.form)
             first = F.col("first_paragraph") if "first_paragraph" in self.docs.columns else None
             found = relevance.drop_product_pages(found, words)
             return found.select("doc_id", phrase.literal_score(q.phrases[0], first).alias("score"))
         if q.kind == "boolean" and len(q.phrases) > 1:
-            matches = phrase.combine(self.docs, self.postings, q.phrases, q.operator or "AND", self.query_stop)
-            got = phrase.combined_score(matches, self.docs, self.postings, self.stats, q.phrases, self.query_stop)
+            matches = phrase.combine(self.docs, self.postings, q.phrases, q.operator or "AND", self.query_stop, self.form)
+            got = phrase.combined_score(matches, self.docs, self.postings, self.stats, q.phrases, self.query_stop, self.form)
             kept = relevance.drop_product_pages(self.docs, [w for p in q.phrases for w in p.split()])
             return got.join(kept, "doc_id", "left_semi")
         return empty
