@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 2 << 20
+CHUNK = 1 << 19  # bytes or words hashed at a time
 
 _U = np.uint64
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
@@ -54,7 +55,7 @@ class _Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n = max(n, CHUNK + 64)
             up, down = np.full(n, self.base, _U), np.full(n, self.inverse, _U)
             up[0] = down[0] = 1
             self.up, self.down = np.cumprod(up), np.cumprod(down)
@@ -89,11 +90,20 @@ class Block:
         return np.repeat(np.arange(len(self.texts)), self.n_words)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
-        """Fingerprint of each byte span; ``fold``: A-Z count as a-z."""
-        up, down = _OF_BYTES.to(len(self.buf) + 1)
-        total = np.zeros(len(self.buf) + 1, _U)
-        np.cumsum(_CODES[fold][self.buf] * up[: len(self.buf)], out=total[1:])
-        return mix((total[end] - total[start]) * down[start] + (end - start).astype(_U))
+        """Fingerprint of each byte span, spans in order and apart; ``fold``: A-Z count as a-z."""
+        out = np.empty(len(start), _U)
+        at = 0
+        while at < len(start):
+            base = start[at]
+            stop = max(int(np.searchsorted(end, base + CHUNK, "right")), at + 1)
+            piece = self.buf[base : end[stop - 1]]
+            up, down = _OF_BYTES.to(len(piece) + 1)
+            total = np.zeros(len(piece) + 1, _U)
+            np.cumsum(_CODES[fold][piece] * up[: len(piece)], out=total[1:])
+            s, e = start[at:stop] - base, end[at:stop] - base
+            out[at:stop] = mix((total[e] - total[s]) * down[s] + (e - s).astype(_U))
+            at = stop
+        return out
 
     def word_hash(self, fold: bool = False) -> np.ndarray:
         return self.span_hash(self.start, self.end, fold)
@@ -112,10 +122,15 @@ def window_hash(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, _U)
-    up, down = _OF_WORDS.to(len(words) + 1)
-    total = np.zeros(len(words) + 1, _U)
-    np.cumsum(words * up[: len(words)], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[:n] + _U(k))
+    out = np.empty(n, _U)
+    for at in range(0, n, CHUNK):
+        piece = words[at : at + CHUNK + k - 1]
+        m = len(piece) - k + 1
+        up, down = _OF_WORDS.to(len(piece) + 1)
+        total = np.zeros(len(piece) + 1, _U)
+        np.cumsum(piece * up[: len(piece)], out=total[1:])
+        out[at : at + m] = mix((total[k:] - total[:-k]) * down[:m] + _U(k))
+    return out
 
 
 def sequence_hash(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
