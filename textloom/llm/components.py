@@ -35,6 +35,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[label[far]]), pa.array(nodes[far])], schema=schema)
 
 
+EDGES_PER_TASK = 200_000
+
+
+def _tasks(n: int) -> int:
+    """Partitions, and so files, for ``n`` edges; a handful of edges is not worth one for every core."""
+    return -(-n // EDGES_PER_TASK) or 1
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for every node with a link; the component is its least node.
 
@@ -44,6 +52,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a != b")
     edges = checkpointed(map_arrow(edges, _forest, "a long, b long").distinct())
+    tasks = _tasks(edges.count())
     mark = None
     while True:
         # large star: every larger neighbour to the least of the neighbourhood
@@ -53,12 +62,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: every smaller neighbour, and the node, to the least
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(low, "b")
-        edges = checkpointed(
-            joined.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a != b").unionByName(low.select(F.col("m").alias("a"), "b")).distinct()
-        )
+        small = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a != b").unionByName(low.select(F.col("m").alias("a"), "b")).distinct()
+        edges = checkpointed(small.coalesce(tasks))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum("a")).first()
         if now == mark or not now[0]:
             break
-        mark = now
+        mark, tasks = now, _tasks(now[0])
     stars = edges.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("node"), "component")
     return stars.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
