@@ -21,8 +21,9 @@ K1, B = 1.2, 0.75
 
 def text_tokens(docs: DataFrame, stop: Sequence[str] = (), parts: bool = False, stem: bool = False, text: str = "text") -> DataFrame:
     """``doc_id, tag, element_no, position, term`` of plain texts; positions count after stop words go."""
-    words = token_list(F.col(text))
-    words = with_parts(words) if parts else words
+    # a column of its own: its several uses then read it instead of matching the text again
+    docs = docs.select("doc_id", token_list(F.col(text)).alias("__words"))
+    words = with_parts(F.col("__words")) if parts else F.col("__words")
     words = without_stop_words(words, stop) if stop else words
     out = docs.select("doc_id", F.lit("p").alias("tag"), F.lit(0).alias("element_no"), F.posexplode(words).alias("position", "term"))
     return stem_terms(out) if stem else out
@@ -30,18 +31,18 @@ def text_tokens(docs: DataFrame, stop: Sequence[str] = (), parts: bool = False,
 
 def html_tokens(pages: DataFrame, stop: Sequence[str] = (), parts: bool = True, stem: bool = True) -> DataFrame:
     """Tokens of the elements p, h1, h2, h3 and title; positions restart in every element."""
-    words = token_list(F.col("e.text"))
-    words = with_parts(words) if parts else words
-    words = without_stop_words(words, stop)
     each = pages.select("doc_id", F.posexplode("elements").alias("element_no", "e"))
-    out = each.select("doc_id", F.col("e.tag").alias("tag"), "element_no", F.posexplode(words).alias("position", "term"))
+    each = each.select("doc_id", F.col("e.tag").alias("tag"), "element_no", token_list(F.col("e.text")).alias("__words"))
+    words = with_parts(F.col("__words")) if parts else F.col("__words")
+    words = without_stop_words(words, stop)
+    out = each.select("doc_id", "tag", "element_no", F.posexplode(words).alias("position", "term"))
     return stem_terms(out) if stem else out
 
 
 def doc_lengths(docs: DataFrame, text: str = "text", parts: bool = False) -> DataFrame:
     """``doc_id, n_terms``: tokens of the whole text, stop words included."""
-    words = token_list(F.col(text))
-    return docs.select("doc_id", F.size(with_parts(words) if parts else words).cast("long").alias("n_terms"))
+    docs = docs.select("doc_id", token_list(F.col(text)).alias("__words"))
+    return docs.select("doc_id", F.size(with_parts(F.col("__words")) if parts else F.col("__words")).cast("long").alias("n_terms"))
 
 
 def average_length(lengths: DataFrame, fallback: float = 500.0) -> DataFrame:
@@ -121,6 +122,24 @@ def top_documents(scored: DataFrame, terms: Sequence[str], k: int = 20, score: s
     return hit.groupBy("doc_id").agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("n_matched")).orderBy(F.col("score").desc(), "doc_id").limit(k)
 
 
+def rank_by_bm25(docs: DataFrame, terms: Sequence[str], stop: Sequence[str] = (), k: int = 20, text: str = "text") -> DataFrame:
+    """``top_documents`` of a query straight from the texts, each tokenised once.
+
+    A document shrinks to its length and its hits before anything is exchanged;
+    that small exchange then serves the average, the frequencies and the ranking.
+    """
+    wanted = [t for t in dict.fromkeys(terms) if t not in set(stop)]
+    words = docs.select("doc_id", token_list(F.col(text)).alias("__words"))
+    small = words.select("doc_id", F.size("__words").cast("long").alias("n_terms"), F.filter("__words", lambda w: w.isin(*wanted)).alias("hits")).repartition("doc_id")
+    whole = small.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("n_terms"), F.lit(500.0)).alias("avg_terms"))
+    own = small.select("doc_id", "n_terms", F.explode("hits").alias("term")).groupBy("doc_id", "n_terms", "term").agg(F.count(F.lit(1)).alias("frequency"))
+    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # as many rows as the query has terms
+    rows = own.join(F.broadcast(df), "term").join(F.broadcast(whole))
+    idf = F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
+    rows = rows.select("term", "doc_id", (bm25_tf(F.col("frequency"), F.col("n_terms"), F.col("avg_terms")) * idf).alias("tf_idf"))
+    return top_documents(rows, wanted, k)
+
+
 def documents_for_term(scored: DataFrame, term: str, k: int = 10) -> DataFrame:
     return scored.where(F.col("term") == term).orderBy(F.col("tf_idf").desc(), "doc_id").limit(k)
 

@@ -47,8 +47,8 @@ class SearchEngine:
     @cached_property
     def tokens(self) -> DataFrame:
         if self.from_html:
-            return index.html_tokens(self.docs, self.stop, self.parts, self.stem).persist()
-        return index.text_tokens(self.docs, self.stop, self.parts, self.stem).persist()
+            return index.html_tokens(self.docs, self.stop, self.parts, self.stem)
+        return index.text_tokens(self.docs, self.stop, self.parts, self.stem)
 
     @cached_property
     def lengths(self) -> DataFrame:
@@ -84,7 +84,7 @@ class SearchEngine:
 
     def release(self) -> None:
         """Give up the cached tables."""
-        for name in ("tokens", "lengths", "postings", "stats"):
+        for name in ("lengths", "postings", "stats"):
             if name in self.__dict__:
                 self.__dict__.pop(name).unpersist()
         self._cache.clear()

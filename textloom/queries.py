@@ -156,14 +156,7 @@ def tfidf_normalized(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register(f"WITH {_METRICS} SELECT doc_id, round(sum(tf_idf), 6) AS score, count(*) AS n_matched FROM met WHERE term IN ({_list(TERMS)}) GROUP BY doc_id ORDER BY sum(tf_idf) DESC, doc_id LIMIT 20")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Only the query's postings meet the statistics: the filter comes before every join."""
-    own = _tokens(spark, sf).where(F.col("term").isin(*TERMS))
-    lengths = _lengths(spark, sf)
-    post = index.postings(own, lengths)
-    stats = index.term_stats(post, index.count_documents(_docs(spark, sf)))
-    rows = post.join(F.broadcast(stats.select("term", "idf_smooth")), "term").join(lengths, "doc_id").join(F.broadcast(index.average_length(lengths)))
-    rows = rows.withColumn("tf_idf", index.bm25_tf(F.col("frequency"), F.col("n_terms"), F.col("avg_terms")) * F.col("idf_smooth"))
-    return _r(index.top_documents(rows, TERMS), "score")
+    return _r(index.rank_by_bm25(_docs(spark, sf), TERMS, STOP), "score")
 
 
 @_register(f"WITH {_METRICS} SELECT doc_id, round(tf_idf, 6) AS tf_idf FROM met WHERE term = '{TERMS[0]}' ORDER BY met.tf_idf DESC, doc_id LIMIT 10")

@@ -16,9 +16,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out anew where a table has fewer splits than the cluster has cores.
+
+    Tokenising and parsing cost far more than reading, and a small file may be one
+    split; a large table has splits enough and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_documents(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, url, title, text`` of the plain-text corpus: first line as title, url from the source."""
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "source")).select(
         "doc_id",
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example/"), F.col("doc_id").cast("string")).alias("url"),
         F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"),
@@ -29,7 +39,7 @@ def text_documents(spark: SparkSession, folder: str) -> DataFrame:
 def html_documents(pages: DataFrame) -> DataFrame:
     """``doc_id, url, title, text, elements, hrefs, ...`` of raw pages, each parsed once."""
     ship(pages.sparkSession)
-    parsed = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select(F.col("page_id").alias("doc_id"), "url", "html", html_extract("html").alias("x"))
+    parsed = spread(pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select("page_id", "url", "html")).select(F.col("page_id").alias("doc_id"), "url", "html", html_extract("html").alias("x"))
     return parsed.select("doc_id", "url", "x.title", "x.text", "x.code", "x.description", "x.first_paragraph", "x.elements", "x.hrefs", "html")
 
 
