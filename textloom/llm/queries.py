@@ -51,7 +51,7 @@ URL_RULES = (
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES).withColumn("purity", F.round("purity", 9))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +95,89 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_TURN_SIZE = (
+    "length(t) + len(regexp_extract_all(t, '[<\\[]\\\\*/?(?:s>|INST\\]|ROLE\\])')) + "
+    "CASE r WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE 19 + length(r) END"
+)
+
+
+
+def _url_sql(depth: int = 4) -> str:
+    """The tree of ``url_filter.judge`` level by level, with its default parameters."""
+    fits = [(r, f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))") for r in sorted(URL_RULES, key=lambda r: -len(r.text))]
+    case = lambda pick: "CASE " + " ".join(f"WHEN {c} THEN '{pick(r)}'" for r, c in fits) + " END"
+    bare = "regexp_replace(coalesce(url, ''), '^.*?://', '', 's')"
+    lexical = (
+        "CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '{n}' WHEN regexp_matches(x, '^[0-9]+\\.[A-Za-z0-9]{1,5}$') THEN concat('{n}', regexp_extract(x, '(\\.[A-Za-z0-9]+)$', 1)) "
+        "WHEN regexp_matches(x, '^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$') THEN '{date}' WHEN regexp_matches(x, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$') THEN '{uuid}' WHEN regexp_matches(x, '^[0-9a-fA-F]{12,}$') THEN '{hex}' ELSE x END"
+    )
+    levels = ["t0 AS (SELECT *, '' AS node FROM shapes)"]
+    for k in range(1, depth + 1):
+        levels += [
+            f"n{k} AS (SELECT *, coalesce(segs[{k}], '') AS name FROM t{k - 1})",
+            f"f{k} AS (SELECT host, node, count(*) AS fan, sum(m) AS paths FROM (SELECT host, node, name, count(*) AS m FROM n{k} GROUP BY host, node, name) GROUP BY host, node)",
+            f"t{k} AS (SELECT n.host, shape, segs, labelled, blocked, CASE WHEN name = '' THEN n.node ELSE concat(n.node, '/', CASE WHEN fan >= 8 AND fan > 0.5 * paths AND NOT starts_with(name, '{{') THEN '{{*}}' ELSE name END) END AS node FROM n{k} n JOIN f{k} f ON n.host = f.host AND n.node = f.node)",
+        ]
+    other_n, other_b = "(pn - n)", "(pb - b)"
+    pooled = "(pb * 1.0 / greatest(pn, 1))"
+    gap = f"abs(b * 1.0 / greatest(n, 1) - {other_b} * 1.0 / greatest({other_n}, 1))"
+    spread = f"sqrt({pooled} * (1 - {pooled}) * (1.0 / greatest(n, 1) + 1.0 / greatest({other_n}, 1)))"
+    return (
+        f"WITH h AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN translate(regexp_extract({bare}, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') ELSE '' END AS host, "
+        f"CASE WHEN contains(coalesce(url, ''), '://') THEN regexp_extract({bare}, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages), "
+        f"base AS (SELECT *, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS given, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: {lexical}) AS segs FROM h), "
+        "sh AS (SELECT *, concat('/', coalesce(array_to_string(segs, '/'), '')) AS shape FROM base), "
+        "shapes AS (SELECT host, shape, segs, count(given) AS labelled, count(*) FILTER (WHERE given = 'block') AS blocked FROM sh GROUP BY host, shape, segs), "
+        f"{', '.join(levels)}, "
+        f"tree AS (SELECT host, shape, labelled, blocked, concat(CASE WHEN node = '' THEN '/' ELSE node END, CASE WHEN len(segs) > {depth} THEN concat('/', array_to_string(segs[{depth + 1}:], '/')) ELSE '' END) AS template FROM t{depth}), "
+        "leaf AS (SELECT host, template, sum(labelled) AS n, sum(blocked) AS b, regexp_replace(template, '/[^/]*$', '') AS up FROM tree GROUP BY host, template), "
+        "par AS (SELECT host, up, sum(n) AS pn, sum(b) AS pb FROM leaf GROUP BY host, up), "
+        f"lm AS (SELECT leaf.host, template, n, b, CASE WHEN n = 0 THEN concat(leaf.up, '/{{unlabelled}}') WHEN {other_n} > 0 AND {gap} <= 1.96 * {spread} THEN concat(leaf.up, '/{{**}}') ELSE template END AS merged FROM leaf JOIN par ON leaf.host = par.host AND leaf.up = par.up), "
+        "prior AS (SELECT (sum(b) + 1) * 1.0 / (sum(n) + 2) AS p0 FROM lm), "
+        "br AS (SELECT host, merged, (sum(b) + 4 * coalesce(any_value(p0), 0.5)) / (sum(n) + 4) AS purity FROM lm, prior GROUP BY host, merged), "
+        "known AS (SELECT tree.host, shape, lm.merged, purity FROM tree JOIN lm ON tree.host = lm.host AND tree.template = lm.template JOIN br ON lm.host = br.host AND lm.merged = br.merged) "
+        "SELECT page_id, sh.host, path, rule, coalesce(given, CASE WHEN purity > 0.8 THEN 'block' ELSE 'allow' END) AS verdict, merged AS template, round(purity, 9) AS purity "
+        "FROM sh LEFT JOIN known ON sh.host = known.host AND sh.shape = known.shape"
+    )
+
+
+#: What SQL can say of the operators: the words that stay, and the format read back (roles without control strings).
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS k FROM g),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+        u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.doc_id)
+        SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+    """,
+    "op4_url_filter": _url_sql(),
+    "op6_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+        g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM s),
+        r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM g),
+        x AS (SELECT doc_id, i, unnest(range(0, 20)) AS j FROM r WHERE n > 1),
+        c AS (SELECT DISTINCT doc_id, i + j AS p FROM x),
+        e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+        k AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.p) AS t, count(*) AS m FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.p = c.p WHERE c.p IS NULL GROUP BY e.doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(m, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+    """,
+    "op7_chat_formatting": f"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        o AS (SELECT *, {_TURN_SIZE} AS n, row_number() OVER w AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, r DESC, t DESC) AS z FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, r, t)),
+        p AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto FROM o)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(r, chr(10), t, chr(10)), '' ORDER BY k)) AS turns_sha256,
+            CAST(coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(t, '' ORDER BY k) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(CASE WHEN r = 'assistant' OR z = 1 THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars,
+            count(*) FILTER (WHERE r = 'assistant' AND length(t) > 0) AS n_examples
+        FROM p GROUP BY conv_id
+    """,
+}
