@@ -31,10 +31,21 @@ def shared_folder(spark: SparkSession) -> str:
     return str(context.getCheckpointDir()).rstrip("/")
 
 
+def fewer(df: DataFrame) -> DataFrame:
+    """At most four partitions a core, or a quarter of the shuffle partitions if those are more.
+
+    For what is written: an executor starts a helper process for every new file on
+    some stores, and small files are slow to read.  Rows stream through, so a
+    larger partition needs no more memory.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-n_parts(spark) // 4)))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return fewer(df).checkpoint()
 
 
 def arrow(schema: str) -> pa.Schema:
