@@ -216,3 +216,47 @@ def test_stream_windows(spark, sf_dir, tmp_path):
     q.awaitTermination(120)
     want = incremental.event_counts(events)
     assert spark.table("counted").select("event_type", "n").groupBy("event_type").sum("n").exceptAll(want.groupBy("event_type").sum("n")).count() == 0
+
+
+def test_lookups_and_views(spark, small):
+    from textloom.operators import lookup
+    from textloom.plans.engine import as_text
+
+    docs, post, tokens = small["docs"], small["post"], small["tokens"]
+    assert lookup.by_url(docs, "http://h.org/2").first().doc_id == 2
+    assert lookup.existing(spark.createDataFrame([("http://h.org/1",), ("x",)], "url string"), docs).count() == 1
+    assert [r.doc_id for r in lookup.posting_list(post, "apple", 1).collect()] == [1]
+    assert [r.position for r in lookup.positions_of(tokens, "cherry", 3, "p").collect()] == [1, 2]
+    assert lookup.at_position(tokens, 3, 3).first().term == "date" and lookup.of_document(post, 4).first().term == "elder"
+    assert lookup.length_array(small["lengths"]).first().lengths == [3, 2, 4, 1]
+    assert lookup.by_status(docs.withColumn("status", F.lit("visited")), "visited").count() == 4
+    assert lookup.by_ids(docs, docs.where("doc_id = 1")).count() == 1 and lookup.idf_pairs(small["stats"]).count() == 5
+    assert [r.doc_id for r in relevance.whole_number_order(spark.createDataFrame([(3, 1.9), (1, 1.1), (2, 2.0)], "doc_id long, score double")).collect()] == [2, 1, 3]
+    assert relevance.term_weight("a", "b A") == 2.0 and relevance.term_weight("x", "b") == 1.0
+    e = SearchEngine(docs, stem=False)
+    ids = lambda df: {r.doc_id for r in df.collect()}
+    assert ids(e.mixed_boolean('apple AND "cherry cherry"')) == {3} and ids(e.mixed_boolean("apple not cherry")) == {1} and ids(e.mixed_boolean('"banana cherry" or elder')) == {2, 4}
+    assert as_text(e.search("zzz")).startswith("zzz: 0 results") and e.total("zzz") == 0
+    e2 = e.reindex(spark.createDataFrame([(9, "http://h.org/4", "fig", "fig")], docs.schema))
+    assert ids(boolean.having_term(e2.build_index(), "fig")) == {9} and boolean.having_term(e2.postings, "elder").count() == 0
+    ranks = docs.select(F.col("doc_id").alias("id"), F.lit(0.25).alias("rank"))
+    page = e.ranked_page(["apple"], ranks, 1, 3).collect()
+    assert [r.position for r in page] == [1, 2, 3] and page[0].doc_id == 1
+    assert store.stamped(docs).where("last_indexed IS NULL").count() == 0
+    e.release()
+    e2.release()
+
+
+def test_small_views():
+    from textloom.functions import snippets
+
+    assert snippets.highlight("<b>a short</b>", ["short"]) == "a short"
+    assert snippets.highlight("this is a longer text about cats", ["cats"]) == "this is a longer text about <strong>cats</strong>"
+    assert snippets.page_buttons(1, 10) == [1, 2, 3, 4, 5] and snippets.page_buttons(9, 10) == [6, 7, 8, 9, 10] and snippets.page_buttons(1, 2) == [1, 2]
+
+
+def test_statistics_of_saved_tables(spark, small):
+    small["post"].write.mode("overwrite").saveAsTable("textloom_post")
+    store.refresh_statistics(spark, ["textloom_post"])
+    assert spark.table("textloom_post").count() == small["post"].count()
+    spark.sql("DROP TABLE textloom_post")

@@ -91,6 +91,21 @@ def context_snippet(text: str | None, terms: Sequence[str], before: int = 100, a
     return ("..." if start else "") + text[start:end].strip() + ("..." if end < len(text) else "")
 
 
+def highlight(text: str, terms: Sequence[str]) -> str:
+    """Tags dropped; terms marked unless the text is under 20 characters."""
+    bare = re.sub("<[^>]+>", "", text)
+    for t in terms if len(bare) >= 20 else ():
+        if t:
+            bare = _mark(bare, re.escape(t))
+    return bare
+
+
+def page_buttons(page: int, total: int, width: int = 5) -> list[int]:
+    """Page numbers around the present one."""
+    first = max(1, min(page - width // 2, total - width + 1))
+    return list(range(first, min(total, first + width - 1) + 1))
+
+
 def description(paragraphs: Sequence[str], body: str) -> str:
     """Paragraphs over 50 characters until there are 200, or the body's head; 300 at most."""
     text = ""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,13 @@ def first_only(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, "doc_id", "left_anti").distinct()
 
 
+def combined(sides: Sequence[DataFrame], operator: str) -> DataFrame:
+    """AND and OR over all sides, NOT as the first without the second."""
+    if operator == "NOT":
+        return first_only(sides[0], sides[1])
+    return reduce(both if operator == "AND" else either, sides).distinct()
+
+
 def match_counts(post: DataFrame, terms: Sequence[str]) -> DataFrame:
     """``doc_id, n_matched``: distinct query terms in each document that has any."""
     return post.where(F.col("term").isin(*terms)).groupBy("doc_id").agg(F.countDistinct("term").alias("n_matched"))

@@ -34,6 +34,11 @@ def relations(links: DataFrame, docs: DataFrame) -> DataFrame:
     return out.join(d.select(F.col("doc_id").alias("dst"), F.col("url").alias("child_url")), "child_url").select("src", "dst").distinct()
 
 
+def relations_below(edges: DataFrame, limit: int = 6000) -> DataFrame:
+    """Edges between ids below a bound: a dense matrix's cells, without the matrix."""
+    return edges.where((F.col("src") < limit) & (F.col("dst") < limit))
+
+
 def link_stats(edges: DataFrame) -> DataFrame:
     """Parents, relationships, average and largest number of children, and the parent with most."""
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))

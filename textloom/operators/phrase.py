@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,11 +61,30 @@ def combine(docs: DataFrame, post: DataFrame, phrases: Sequence[str], operator:
     for p in phrases:
         words = stripped(p, stop)
         sides.append(literal(docs, post, " ".join(words), stop, form=form).select("doc_id") if words else docs.select("doc_id").limit(0))
-    if operator == "AND":
-        return reduce(boolean.both, sides).distinct()
-    if operator == "OR":
-        return reduce(boolean.either, sides).distinct()
-    return boolean.first_only(sides[0], sides[1])
+    return boolean.combined(sides, operator)
+
+
+def mixed(docs: DataFrame, post: DataFrame, parts: Sequence[tuple[str, bool]], operator: str, stop: Sequence[str], form: Callable[[str], str] = str) -> DataFrame:
+    """As ``combine``, for parts that need not be quoted: (text, quoted).
+
+    An unquoted part asks for all of its words; under NOT, documents whose title or
+    text holds the second part literally go as well, whatever the index says.
+    """
+    sides = []
+    for text, quoted in parts:
+        words = stripped(text, stop)
+        if quoted and words:
+            sides.append(literal(docs, post, text, stop, form=form).select("doc_id"))
+        elif words:
+            counts = boolean.match_counts(post, [form(w) for w in words])
+            sides.append(counts.where(F.col("n_matched") == len({form(w) for w in words})).select("doc_id"))
+        else:
+            sides.append(docs.select("doc_id").limit(0))
+    out = boolean.combined(sides, operator)
+    if operator == "NOT":
+        low = parts[1][0].lower()
+        out = boolean.first_only(out, docs.where(F.lower("text").contains(low) | F.lower("title").contains(low)).select("doc_id"))
+    return out
 
 
 def combined_score(matches: DataFrame, docs: DataFrame, post: DataFrame, stats: DataFrame, phrases: Sequence[str], stop: Sequence[str], form: Callable[[str], str] = str) -> DataFrame:

@@ -164,3 +164,13 @@ def field_weighted(fields: DataFrame, stats: DataFrame, lengths: DataFrame, rank
     rel = hit.groupBy("doc_id").agg(F.sum(F.col("wf") / F.greatest(F.col("n_terms"), F.lit(1)) * F.col("idf_ln")).alias("relevance"))
     rows = ranks.select(F.col("id").alias("doc_id"), "rank").join(rel, "doc_id", "left")
     return rows.select("doc_id", (0.7 * F.coalesce("relevance", F.lit(0.0)) + 0.3 * F.col("rank")).alias("score"))
+
+
+def whole_number_order(scored: DataFrame) -> DataFrame:
+    """Second ranker's order: by the whole part of the score, then id, so most scores tie."""
+    return scored.orderBy(F.col("score").cast("int").desc(), "doc_id")
+
+
+def term_weight(term: str, query: str) -> float:
+    """2 for a term that the query holds, else 1."""
+    return 2.0 if term.lower() in query.lower() else 1.0

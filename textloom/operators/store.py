@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,14 @@ def delete_documents(old: DataFrame, ids: DataFrame) -> DataFrame:
 def reindex(old: DataFrame, new: DataFrame) -> DataFrame:
     """Index rows of documents that come again are replaced whole, so indexing twice equals indexing once."""
     return delete_documents(old, new).unionByName(new)
+
+
+def refresh_statistics(spark: SparkSession, names: Sequence[str]) -> None:
+    """Statistics of saved tables, for the optimizer."""
+    for name in names:
+        spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
+
+
+def stamped(docs: DataFrame) -> DataFrame:
+    """``last_indexed`` set to now."""
+    return docs.withColumn("last_indexed", F.current_timestamp())

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 import time
 from collections import OrderedDict
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.snippets import description_column, snippet_column
@@ -155,8 +156,48 @@ class SearchEngine:
             self._cache.popitem(last=False)
         return out
 
+    def total(self, query: str) -> int:
+        """How many documents a query has, capped as pages are."""
+        return min(self.scored(self.analyze(query)).count(), MAX_RESULTS)
+
+    def build_index(self) -> DataFrame:
+        """Build and keep the index tables; the postings."""
+        self.postings.count()
+        self.stats.count()
+        return self.postings
+
+    compute_metrics = metrics
+
+    def reindex(self, fresh: DataFrame) -> SearchEngine:
+        """An engine over the documents with those of ``fresh`` replaced or added, by url."""
+        columns = self.docs.columns
+        merged = self.docs.join(fresh.select("url"), "url", "left_anti").select(*columns).unionByName(fresh.select(*columns))
+        return SearchEngine(merged, self.stop, self.query_stop, self.stem, self.parts, self.strict)
+
+    def mixed_boolean(self, query: str) -> DataFrame:
+        """``doc_id`` of two parts around an operator, quoted or not."""
+        found = re.split(r"\b(AND|OR|NOT)\b", normalize_operators(query), maxsplit=1)
+        if len(found) < 3:
+            return self.scored(self.analyze(query)).select("doc_id")
+        sides = [(p.strip().strip('"'), p.strip().startswith('"')) for p in (found[0], found[2])]
+        return phrase.mixed(self.docs, self.postings, sides, found[1], self.query_stop, self.form)
+
+    def ranked_page(self, terms: Sequence[str], ranks: DataFrame, page: int = 1, size: int = 10) -> DataFrame:
+        """``position, doc_id, url, title, score, snippet`` of a page of ``rank_all``, one row a url."""
+        best = index.page_slice(self.rank_all(terms, ranks), page, size).join(self.docs, "doc_id")
+        one = index.first_per_url(best)
+        numbered = one.withColumn("position", F.row_number().over(Window.orderBy(F.col("score").desc(), "doc_id")) + (page - 1) * size)
+        return numbered.select("position", "doc_id", "url", "title", "score", snippet_column(F.col("text"), terms).alias("snippet")).orderBy("position")
+
     def rank_all(self, terms: Sequence[str], ranks: DataFrame) -> DataFrame:
         """Every document by relevance, link rank and density together."""
         rel = relevance.weighted_tfidf(self.postings, self.stats, terms)
         rel = relevance.url_boosts(rel, self.docs, self.postings, terms)
         return relevance.blend(rel, ranks, relevance.density(self.postings, self.lengths, terms))
+
+
+def as_text(found: dict) -> str:
+    """A search's answer as lines of text."""
+    lines = [f"{found['query']}: {found['totalResults']} results" if not found.get("error") else f"{found['query']}: {found['error']}"]
+    lines += [f"{i}. {r['title']} <{r['url']}> {r['score']:.4f}" for i, r in enumerate(found["results"], 1)]
+    return "\n".join(lines)

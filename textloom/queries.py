@@ -12,7 +12,7 @@ from .functions.html import html_extract
 from .functions.snippets import snippet_column
 from .functions.stop_words import FALLBACK
 from .functions.url import domain, normalize_url, path_similarity, short_url
-from .operators import boolean, diversity, graph, index, phrase, relevance, store
+from .operators import boolean, diversity, graph, index, lookup, phrase, relevance, store
 from .plans.engine import SearchEngine
 from .shipping import ship
 from .sources.tables import html_documents, table, text_documents
@@ -608,6 +608,53 @@ def suggestions(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(s,) for s in e.suggestions(" ".join(TERMS), hit)], "suggestion string")
 
 
+# --- lookups ------------------------------------------------------------------------------------
+
+
+@_register(f"WITH {_DOCS} SELECT doc_id, url, title FROM d WHERE url = 'https://src3.example/3'")
+def lookup_url(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.document_data(lookup.by_url(_docs(spark, sf), "https://src3.example/3"))
+
+
+@_register(f"WITH {_POST} SELECT doc_id, frequency FROM post WHERE term = 'que'")
+def posting_list(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.posting_list(_post(spark, sf), "que")
+
+
+@_register(f"WITH {_POST}, q AS (SELECT DISTINCT doc_id, t AS term FROM documents, (VALUES ('que'), ('or')) v(t)) SELECT q.term, q.doc_id, coalesce(frequency, 0) AS frequency FROM q LEFT JOIN post ON q.term = post.term AND q.doc_id = post.doc_id")
+def point_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = table(spark, sf, "documents").select("doc_id", F.explode(F.array(F.lit("que"), F.lit("or"))).alias("term"))
+    return lookup.frequency_in(_post(spark, sf), pairs).select("term", "doc_id", "frequency")
+
+
+@_register(f"WITH p AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{_P}'), lambda x: length(x) > 1 AND x NOT IN ({_list(STOP)})) AS w FROM documents WHERE doc_id = 0), q AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS position FROM p) SELECT term, CAST(position AS INTEGER) AS position FROM q WHERE term IN ({_list(TERMS)})")
+def consecutive_positions(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.consecutive(_tokens(spark, sf), 0, TERMS).select("term", "position")
+
+
+@_register(f"WITH {_LEN} SELECT doc_id, n_terms FROM len")
+def length_array(spark: SparkSession, sf: str) -> DataFrame:
+    """The array read back in order of id."""
+    ids = table(spark, sf, "documents").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    both = ids.join(F.broadcast(lookup.length_array(_lengths(spark, sf))))
+    return both.select(F.explode(F.arrays_zip("ids", "lengths")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.lengths").alias("n_terms"))
+
+
+@_register(f"WITH {_EDGES} SELECT src, dst FROM e WHERE src < 100 AND dst < 100")
+def relation_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.relations_below(_edges(spark, sf), 100)
+
+
+@_register()
+def mixed_boolean(spark: SparkSession, sf: str) -> DataFrame:
+    return _engine(spark, sf).mixed_boolean(f'"{PHRASE}" NOT quear')
+
+
+@_register()
+def ranked_results(spark: SparkSession, sf: str) -> DataFrame:
+    return _engine(spark, sf).ranked_page(list(TERMS), _ranks(spark, sf))
+
+
 # --- changes of stored tables -------------------------------------------------------------------
 
 
