@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,7 +51,10 @@ def relaxed(post: DataFrame, terms: Sequence[str]) -> DataFrame:
     counts = match_counts(post, terms)
     k = len(set(terms))
     least = max(1, k // 2)
-    sizes = counts.agg(F.count(F.when(F.col("n_matched") == k, 1)).alias("full"), F.count(F.when(F.col("n_matched") >= least, 1)).alias("half"), F.count(F.lit(1)).alias("any"))
-    ranked = counts.withColumn("__rank", F.row_number().over(Window.orderBy(F.col("n_matched").desc(), "doc_id"))) if k > 1 and least > 1 else counts.withColumn("__rank", F.lit(0))
-    keep = F.when(F.col("full") > 0, F.col("n_matched") == k).when(F.col("half") > 0, F.col("n_matched") >= least).otherwise(F.col("__rank") <= F.greatest(F.lit(10), F.floor(F.col("any") / 5)))
-    return ranked.join(F.broadcast(sizes)).where(keep).select("doc_id", "n_matched")
+    # one row of counts comes first: then each case is a filter, and only the last one sorts
+    full, half, some = counts.agg(F.count(F.when(F.col("n_matched") == k, 1)), F.count(F.when(F.col("n_matched") >= least, 1)), F.count(F.lit(1))).first()
+    if full:
+        return counts.where(F.col("n_matched") == k)
+    if half:
+        return counts.where(F.col("n_matched") >= least)
+    return counts.orderBy(F.col("n_matched").desc(), "doc_id").limit(max(10, some // 5))

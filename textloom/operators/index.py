@@ -145,14 +145,18 @@ def documents_for_term(scored: DataFrame, term: str, k: int = 10) -> DataFrame:
 
 
 def nested_index(tokens: DataFrame, docs: DataFrame) -> DataFrame:
-    """term -> total frequency and documents with url, title, frequency and tags."""
+    """term -> total frequency and documents with url, title, frequency and tags.
+
+    One row a term is the shape asked for, so a very common term is a very long
+    row; ``field_postings`` holds the same rows flat, and is what to keep at scale.
+    """
     tags = field_postings(tokens).groupBy("term", "doc_id").agg(F.sort_array(F.collect_list(F.struct("tag", "frequency"))).alias("tags"), F.sum("frequency").alias("frequency"))
     full = tags.join(docs.select("doc_id", "url", "title"), "doc_id")
     return full.groupBy("term").agg(F.sum("frequency").alias("total_frequency"), F.sort_array(F.collect_list(F.struct("doc_id", "url", "title", "frequency", "tags"))).alias("documents"))
 
 
 def flat_index(post: DataFrame) -> DataFrame:
-    """term -> map of document to frequency."""
+    """term -> map of document to frequency; like ``nested_index``, one row a term, where ``postings`` is flat."""
     return post.groupBy("term").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("doc_id", "frequency")))).alias("documents"))
 
 

@@ -117,14 +117,16 @@ def weighted_tfidf(post: DataFrame, stats: DataFrame, terms: Sequence[str], with
 
 def fallback_relevance(post: DataFrame, stats: DataFrame, lengths: DataFrame, terms: Sequence[str]) -> DataFrame:
     """BM25 tf at a fixed average of 500 times the boosted idf; quoted, short and programming terms weigh more."""
-    rows = post.join(lengths, "doc_id").join(F.broadcast(stats.select("term", "idf_boosted")), "term")
-    score = F.lit(0.0)
     bare = [t.strip('"') for t in terms]
+    wanted = F.col("term").isin(*(t.lower() for t in bare))
+    # the statistics of the query's terms only: as many rows as the query has words
+    rows = post.where(wanted).join(F.broadcast(stats.where(wanted).select("term", "idf_boosted")), "term").join(lengths, "doc_id")
+    score = F.lit(0.0)
     for raw, t in zip(terms, bare, strict=True):
         quoted = raw.startswith('"') and raw.endswith('"') and len(raw) > 1
         weight = (3.0 if quoted else 1.0) * 2.0 * (2.0 if quoted and len(t) <= 2 else 1.0) * 1.5
         score = score + F.when(F.col("term") == t.lower(), weight * bm25_tf(F.col("frequency"), F.col("n_terms"), F.lit(500.0)) * F.col("idf_boosted")).otherwise(0.0)
-    return rows.where(F.col("term").isin(*(t.lower() for t in bare))).groupBy("doc_id").agg(F.sum(score).alias("relevance"))
+    return rows.groupBy("doc_id").agg(F.sum(score).alias("relevance"))
 
 
 def url_boosts(relevance: DataFrame, docs: DataFrame, post: DataFrame, terms: Sequence[str], quoted: bool = False) -> DataFrame:
