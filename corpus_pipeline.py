@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontam, ngram_join, packing, queries, rule_classifier, substring_dedup
-from textloom.llm.runtime import fewer, shared_folder
+from textloom.llm.runtime import n_files, shared_folder
 
 #: Near-duplicate stages on word shingles: five words, similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -26,14 +26,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fit the rule ensemble on the labels of these documents; rejected documents go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = rule_classifier.train(docs, labels)
-    return fewer(rule_classifier.with_score(docs, model, "__quality").where("__quality >= 0.5").select(*docs.columns))
+    return rule_classifier.with_score(docs, model, "__quality").where("__quality >= 0.5").select(*docs.columns).coalesce(n_files(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id stays."""
     linked = ngram_join.class_links(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
     gone = linked.where("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return fewer(docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti"))
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").coalesce(n_files(docs))
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,17 +47,17 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     done = done.where((F.col("__n_removed") < F.col("__n_words")) | ~cut)
     done = done.withColumn("text", F.when(cut, F.col("__kept")).otherwise(F.col("text")))
     done = done.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long")))
-    return fewer(done.select(*(F.col(c).cast(docs.schema[c].dataType) for c in docs.columns)))
+    return done.select(*(F.col(c).cast(docs.schema[c].dataType) for c in docs.columns)).coalesce(n_files(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item, edited or not, go."""
-    return fewer(decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).coalesce(n_files(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenised pieces and their places in sequences of ``CAPACITY`` tokens."""
-    return packing.pack_documents(docs, queries.tokenizer_path(), CAPACITY)
+    return packing.pack_documents(docs, queries.tokenizer_path(), CAPACITY).coalesce(n_files(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -43,7 +43,7 @@ def _tasks(n: int) -> int:
     return -(-n // EDGES_PER_TASK) or 1
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", files: int | None = None) -> DataFrame:
     """``node, component`` for every node with a link; the component is its least node.
 
     Links are first thinned to a forest within each batch.  Then each node hands
@@ -51,7 +51,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     log2 of the longest chain in rounds, each cut by a checkpoint.
     """
     edges = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a != b")
-    edges = checkpointed(map_arrow(edges, _forest, "a long, b long").distinct())
+    edges = checkpointed(map_arrow(edges, _forest, "a long, b long").distinct(), files)
     tasks = _tasks(edges.count())
     mark = None
     while True:
@@ -63,7 +63,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(low, "b")
         small = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a != b").unionByName(low.select(F.col("m").alias("a"), "b")).distinct()
-        edges = checkpointed(small.coalesce(tasks))
+        edges = checkpointed(small, tasks)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum("a")).first()
         if now == mark or not now[0]:
             break

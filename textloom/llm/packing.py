@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import Block, blocks
-from .runtime import arrow, checkpointed, map_arrow, n_parts, ragged
+from .runtime import arrow, checkpointed, map_arrow, n_files, n_parts, ragged
 
 END_ID = 0
 # Lead bytes of white space beyond ASCII and of control strings; the pattern then decides.
@@ -297,4 +297,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col
     Null text: empty (one end id).  A null id is kept as null; repeated rows are
     packed each; other columns are ignored; an empty table gives no rows.
     """
-    return pack(checkpointed(tokenised_pieces(docs, tokenizer, capacity, id_col, text_col)), capacity)
+    return pack(checkpointed(tokenised_pieces(docs, tokenizer, capacity, id_col, text_col), n_files(docs)), capacity)

@@ -31,21 +31,24 @@ def shared_folder(spark: SparkSession) -> str:
     return str(context.getCheckpointDir()).rstrip("/")
 
 
-def fewer(df: DataFrame) -> DataFrame:
-    """At most four partitions a core, or a quarter of the shuffle partitions if those are more.
+FILE_BYTES = 32 << 20
 
-    For what is written: an executor starts a helper process for every new file on
-    some stores, and small files are slow to read.  Rows stream through, so a
-    larger partition needs no more memory.
+
+def n_files(like: DataFrame) -> int:
+    """Files for what comes of ``like``: one for 32 MB that its scan reads, one a core at least.
+
+    A new file costs an executor a helper process on some stores, and many small
+    ones are slow to read again.  A table of unknown size counts as huge, which
+    leaves the partitions as they are.
     """
-    spark = df.sparkSession
-    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-n_parts(spark) // 4)))
+    size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(like.sparkSession.sparkContext.defaultParallelism, min(-(-size // FILE_BYTES), 1_000_000))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder."""
+def checkpointed(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Cut the lineage through the shared folder, in at most ``files`` files if given."""
     shared_folder(df.sparkSession)
-    return fewer(df).checkpoint()
+    return (df.coalesce(files) if files else df).checkpoint()
 
 
 def arrow(schema: str) -> pa.Schema:
