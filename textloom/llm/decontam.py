@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .kernel import Block, as_bytes, window_hash
 from .license_scan import normal
-from .runtime import arrow, map_arrow
+from .runtime import arrow, map_arrow, trim
 
 BLOCK_BYTES = 8 << 20
 SEED_WORDS = 3
@@ -226,6 +226,7 @@ def leaks_column(text: Column, items: Items, share: float = SHARE) -> Column:
 
     @arrow_udf("array<struct<item_id:bigint,score:double,first_word:bigint,end_word:bigint>>")
     def run(texts: pa.Array) -> pa.Array:
+        trim()
         got = _leaks(as_bytes(texts), items, _sieve(items.keys), share)
         return pa.array([[dict(zip(("item_id", "score", "first_word", "end_word"), x, strict=True)) for x in row] for row in got], kind)
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .kernel import Block, as_bytes, window_hash
-from .runtime import map_arrow, n_parts, part_of
+from .runtime import map_arrow, n_parts, part_of, trim
 
 _END = np.uint64(0x51ED270B7C3A9D11)
 _BEGIN = np.uint64(0xA0761D6478BD642F)
@@ -105,6 +105,7 @@ def score_documents(docs: DataFrame, held_out: str | None = None, order: int = 2
     )
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
+        trim()
         _, texts, is_held = _ordered(table)
         grams = _Grams(texts, order)
         train = ~is_held[grams.doc]
@@ -167,6 +168,7 @@ def score_documents(docs: DataFrame, held_out: str | None = None, order: int = 2
     replies = replies.where("block IS NOT NULL").drop("tokens", "kinds").join(F.broadcast(size))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         names, texts, is_held = _ordered(left)
         grams = _Grams(texts, order)
         tokens, kinds = right.column("tokens")[0].as_py(), right.column("kinds")[0].as_py()

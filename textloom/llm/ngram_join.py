@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .components import components
 from .kernel import Block, as_bytes, mix, sequence_hash
-from .runtime import checkpointed, map_arrow, n_files, n_parts, part_of, ragged
+from .runtime import checkpointed, map_arrow, n_files, n_parts, part_of, ragged, trim
 
 BLOCKS_PER_PART = 2
 SHORT_LIST = 32
@@ -170,6 +170,7 @@ def class_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
     )
 
     def ask_counts(key: tuple, table: pa.Table) -> pa.Table:
+        trim()
         s = _Sets(table, k)
         values, counts = np.unique(s.values, return_counts=True)
         cells = {p: [values[c].astype("<u4").tobytes(), np.minimum(counts[c], 0xFFFFFFFF).astype("<u4").tobytes(), b""] for p, c in _cut(values, parts)}
@@ -232,6 +233,7 @@ def class_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
         )
 
     def enter_lists(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         block = key[0].as_py()
         s = _Sets(left, k)
         values, back = np.unique(s.values, return_inverse=True)
@@ -371,6 +373,7 @@ def class_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], names=names)
 
     def fetch(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         join = lambda c, t: np.frombuffer(b"".join(x for x in right.column(c).to_pylist() if x), t)
         want = np.unique(join("want", "<i8"))
         pairs = join("pairs", "<i8").reshape(-1, 2)

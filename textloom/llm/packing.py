@@ -27,7 +27,7 @@ END_ID = 0
 # Lead bytes of white space beyond ASCII and of control strings; the pattern then decides.
 _HINTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"<|")
 _ODD = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]|<\|")
-CACHE_CHUNKS = 1_500_000  # chunks a worker remembers; beyond that it starts anew
+CACHE_CHUNKS = 700_000  # chunks a worker remembers; beyond that it starts anew
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterable
 
@@ -12,6 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ..shipping import ship
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # only the GNU library has it
+    _TRIM = None
+
+
 def n_parts(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -86,7 +93,24 @@ def unpack(batches: Iterable[pa.RecordBatch], column: str, dtype: np.dtype) -> n
     return np.frombuffer(b"".join(got), dtype) if got else np.zeros(0, dtype)
 
 
+def trim() -> None:
+    """Give freed memory back to the machine.
+
+    A worker serves many tasks; what the last block left free in the allocators
+    would else stay with it beside the next one's arrays.
+    """
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def map_arrow(df: DataFrame, fn, ddl: str) -> DataFrame:  # noqa: ANN001
-    """``mapInArrow`` with this package at hand on the executors."""
+    """``mapInArrow`` with this package at hand on the executors, freed memory returned around each task."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, ddl)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        trim()
+        yield from fn(batches)
+        trim()
+
+    return df.mapInArrow(run, ddl)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import _SPACE, Block, blocks, mix
-from .runtime import arrow, map_arrow
+from .runtime import arrow, map_arrow, trim
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_chars_all", "n_lines", "n_upper", "n_digits", "n_punct", "n_distinct_words", "n_same_next", "n_stops", "longest_word", "n_capital_words", "n_bang")
@@ -110,6 +110,7 @@ def stats_struct(text: Column, columns: tuple[str, ...] = BASE + MORE) -> Column
 
     @arrow_udf("struct<" + ",".join(f"{c}:bigint" for c in columns) + ">")
     def run(texts: pa.Array) -> pa.Array:
+        trim()
         batch = pa.RecordBatch.from_arrays([texts], names=["text"])
         got = [block_stats(block) for _, block in blocks(batch)]
         return pa.StructArray.from_arrays([pa.array(np.concatenate([g[c] for g in got]) if got else np.zeros(0, np.int64)) for c in columns], names=list(columns))

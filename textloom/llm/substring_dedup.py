@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .kernel import Block, as_bytes, window_hash
-from .runtime import map_arrow, n_parts, part_of
+from .runtime import map_arrow, n_parts, part_of, trim
 
 LENGTH = 20
 BLOCKS_PER_PART = 2
@@ -118,6 +118,7 @@ def _paths(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[Da
     )
 
     def ask_keys(key: tuple, table: pa.Table) -> pa.Table:
+        trim()
         w = _Windows(table, length)
         return _dealt(key[0].as_py(), parts, {p: w.keys[s].tobytes() for p, s in _cut(w.keys, parts)}, "keys")
 
@@ -138,6 +139,7 @@ def _paths(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[Da
         yield pa.RecordBatch.from_arrays([*(asked.column(c).combine_chunks() for c in ("block", "part")), pa.array(bits, pa.binary())], names=["block", "part", "bits"])
 
     def ask_edges(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         block = key[0].as_py()
         w = _Windows(left, length)
         repeated = w.repeated.copy()
@@ -238,6 +240,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     rows, replies = _paths(docs, length, id_col, text_col)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         ids, texts = left.column("id").to_pylist(), as_bytes(left.column("text"))
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
         spans = _spans(right)
