@@ -21,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
 from .kernel import Block, as_bytes, window_hash
 from .license_scan import normal
-from .runtime import arrow, map_arrow, trim
+from .runtime import arrow, map_arrow, ship, trim
 
 BLOCK_BYTES = 8 << 20
 SEED_WORDS = 3

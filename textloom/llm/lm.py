@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
 from .kernel import Block, as_bytes, window_hash
-from .runtime import map_arrow, n_parts, part_of, trim
+from .runtime import map_arrow, n_parts, part_of, ship, trim
 
 _END = np.uint64(0x51ED270B7C3A9D11)
 _BEGIN = np.uint64(0xA0761D6478BD642F)

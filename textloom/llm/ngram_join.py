@@ -29,10 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
 from .components import components
 from .kernel import Block, as_bytes, mix, sequence_hash
-from .runtime import checkpointed, map_arrow, n_files, n_parts, part_of, ragged, trim
+from .runtime import checkpointed, map_arrow, n_files, n_parts, part_of, ragged, ship, trim
 
 BLOCKS_PER_PART = 2
 SHORT_LIST = 32

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from .runtime import ship
 from .stats import BASE, MORE, stats_struct
 
 #: SQL over the statistics; every one is defined for an empty text.

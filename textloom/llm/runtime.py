@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..shipping import ship
+from ..shipping import ship as ship_package
 
 
 try:
@@ -93,6 +93,19 @@ def unpack(batches: Iterable[pa.RecordBatch], column: str, dtype: np.dtype) -> n
     return np.frombuffer(b"".join(got), dtype) if got else np.zeros(0, dtype)
 
 
+#: Rows and bytes that cross to Python at a time; rows here are whole texts, and the defaults suit numbers.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def ship(spark: SparkSession) -> None:
+    """This package at hand on the executors, and batches of a few MB of text; a session's own smaller sizes stay."""
+    ship_package(spark)
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or int(now) <= 0 or int(now) > int(most):
+            spark.conf.set(key, most)
+
+
 def trim() -> None:
     """Give freed memory back to the machine.
 
