@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import Block, as_bytes, mix, sequence_hash
-from .runtime import checkpointed, map_arrow, n_files, n_parts, part_of, ragged, ship, trim
+from .runtime import checkpointed, map_arrow, n_parts, part_of, ragged, ship, trim
 
 BLOCKS_PER_PART = 2
 SHORT_LIST = 32
@@ -407,9 +407,8 @@ def class_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
     replies = replies.where("block IS NOT NULL").drop("lists", "entries").join(F.broadcast(stats))
     entries = joined(rows, replies, enter_lists, "part int, block long, entries binary, hot binary, docs binary").repartitionById(parts, F.col("part"))
     lists = map_arrow(entries, read_lists, "block long, want binary, pairs binary, long binary, docs binary")
-    files = n_files(docs)
-    found = checkpointed(joined(rows, lists, fetch, "kind string, a long, b long, n long, pos long, small int, data binary"), files)
-    return _link(found, percent, id_col, files)
+    found = checkpointed(joined(rows, lists, fetch, "kind string, a long, b long, n long, pos long, small int, data binary"))
+    return _link(found, percent, id_col)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -439,7 +438,7 @@ def _can_link(percent: int, x: Callable[[str], Column], y: Callable[[str], Colum
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - x("pos"), m - y("pos")) >= least) & (apart <= n + m - 2 * least)
 
 
-def _link(found: DataFrame, percent: int, id_col: str, files: int) -> DataFrame:
+def _link(found: DataFrame, percent: int, id_col: str) -> DataFrame:
     sets = found.where("kind = 'set'").select("a", "data")
     # a bitmap as longs: eight bytes each, the same order on either side
     words = [F.conv(F.hex(F.substring("data", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"m{i}") for i in range(MAPS)]
@@ -449,13 +448,13 @@ def _link(found: DataFrame, percent: int, id_col: str, files: int) -> DataFrame:
     star = star.where(_can_link(percent, F.col, lambda c: F.col(f"c.{c}")))
     ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     first = found.where("kind = 'pair'").select("a", "b").unionByName(star.select(*ends(F.col("node"), F.col("c.node")))).distinct()
-    links = checkpointed(_verified(first, sets, percent), files)
-    comp = checkpointed(components(links, files=files), files)
+    links = checkpointed(_verified(first, sets, percent))
+    comp = checkpointed(components(links))
     # members of a long list that its largest component leaves out, against the whole list
     named = long.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", F.col("top.component").alias("main"))
-    named = checkpointed(named.join(main, "token"), files)
+    named = checkpointed(named.join(main, "token"))
     x, y = named.where("component != main").alias("x"), named.alias("y")
     rest = x.join(y, F.col("x.token") == F.col("y.token")).where(F.col("x.component") != F.col("y.component"))
     rest = rest.where(_can_link(percent, lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
@@ -464,7 +463,7 @@ def _link(found: DataFrame, percent: int, id_col: str, files: int) -> DataFrame:
     name = comp.select(F.col("node"), F.col("component"))
     for end in ("a", "b"):
         more = more.join(name.withColumnRenamed("node", end).withColumnRenamed("component", f"c{end}"), end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
-    second = components(more.distinct(), files=files).withColumnRenamed("component", "last")
+    second = components(more.distinct()).withColumnRenamed("component", "last")
     comp = comp.join(second.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("last", "component").alias("component"))
     alone = second.join(comp, second["node"] == comp["node"], "left_anti").select("node", F.col("last").alias("component"))
     comp = comp.unionByName(alone)

@@ -45,7 +45,8 @@ def n_files(like: DataFrame) -> int:
     """Files for what comes of ``like``: one for 32 MB that its scan reads, one a core at least.
 
     A new file costs an executor a helper process on some stores, and many small
-    ones are slow to read again.  A table of unknown size counts as huge, which
+    ones are slow to read again.  For plans without joins or sorts only: a task
+    that runs many partitions one after another keeps the memory of every sort.  A table of unknown size counts as huge, which
     leaves the partitions as they are.
     """
     size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
