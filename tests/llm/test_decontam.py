@@ -81,3 +81,31 @@ def test_odd_inputs(spark, sf_dir):
     assert decontam.find_leaks(no_documents(spark), bench).count() == 0
     assert decontam.find_leaks(odd_documents(spark), bench.limit(0)).count() == 0
     assert decontam.drop_leaks(odd_documents(spark), bench).columns == odd_documents(spark).columns
+
+
+@pytest.mark.parametrize("exact", [0, 3])
+def test_heavily_edited_copies(spark, exact):
+    """18 to 33 % of the words substituted, evenly or at random, with and without exact copies elsewhere."""
+    rng = random.Random(11)
+    items = [(i, [f"i{i}x{j}" for j in range(rng.choice((24, 40, 60)))]) for i in range(40)]
+    texts, want = [], set()
+    for i, words in items:
+        m = len(words)
+        if i % 2:
+            gone = set(range(2, m, 3 + i // 2 % 3))
+        else:
+            gone = set(rng.sample(range(m), int(m * rng.choice((0.18, 0.25, 0.33)))))
+        copies = [[f"s{i}x{j}" if j in gone else w for j, w in enumerate(words)]] + [words] * exact
+        for words in copies:
+            want.add((len(texts), i))
+            texts.append([f"c{rng.randrange(500)}" for _ in range(50)] + words + [f"c{rng.randrange(500)}" for _ in range(50)])
+    # a word more after every two
+    items.append((40, [f"i40x{j}" for j in range(30)]))
+    want.add((len(texts), 40))
+    texts.append([w for j, x in enumerate(items[40][1]) for w in ([x, f"m{j}"] if j % 2 else [x])])
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for k, i in want:
+        q = dict(items)[i]
+        assert brute_score(q, texts[k]) >= len(q)
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()} == want

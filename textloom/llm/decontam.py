@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The n-grams of the test items are counted over all documents; each item keeps
-the rarer half as seeds (ties included, so a leak that sits in a third of the
-corpus still seeds).  A document that shares seeds with an item has the passage
-around them aligned with the item word by word, with gaps, and counts as leaked
-if the local score reaches a share of the item's own, so edits and paraphrases
-of single words do not hide a copy.
+All n-grams of a test item are seeds: which of them an edited copy keeps, and
+how common its other copies make them, cannot be known beforehand.  Pairs of
+words next to each other or one word apart are seeds too, for a copy in which
+every third word is edited.  A document that shares seeds with an item has the
+passage around them aligned with the item word by word, with gaps, and counts as
+leaked if the local score reaches a share of the item's own, so edits and
+paraphrases of single words do not hide a copy.
 
 Test items are the query set.  They travel to the executors in blocks of at
 most ``BLOCK_BYTES`` of text; a larger benchmark takes more passes, not more memory.
@@ -21,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Block, as_bytes, window_hash
+from .kernel import Block, as_bytes, mix, window_hash
 from .license_scan import normal
-from .runtime import arrow, map_arrow, ship, trim
+from .runtime import ship, trim
 
 BLOCK_BYTES = 8 << 20
 SEED_WORDS = 3
@@ -32,11 +33,12 @@ SHARE = 0.5
 LEAST_WORDS = 8
 
 _BITS = 22
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Items:
-    """Words of some test items and their n-grams."""
+    """Words of some test items and their seeds."""
 
     ids: list[int | None]
     words: list[np.ndarray]
@@ -49,12 +51,13 @@ class Items:
         """Items shorter than a seed cannot be told from chance and are left out."""
         ids, words, keys, owner, place = [], [], [], [], []
         for item, text in rows:
-            w = Block([normal((text or "").encode())]).word_hash()
+            block = Block([normal((text or "").encode())])
+            w = block.word_hash()
             if len(w) >= SEED_WORDS:
-                g = window_hash(w, SEED_WORDS)
+                g, at, _ = _seeds(block, w)
                 keys.append(g)
                 owner.append(np.full(len(g), len(ids)))
-                place.append(np.arange(len(g)))
+                place.append(at)
                 ids.append(item)
                 words.append(w)
         if not ids:
@@ -63,14 +66,16 @@ class Items:
         by = np.argsort(k, kind="stable")
         return cls(ids, words, k[by], o[by], p[by])
 
-    def rare(self, df: dict[int, int]) -> Items:
-        """Only the rarer half of each item's n-grams."""
-        n = np.array([df.get(int(k), 0) for k in self.keys.tolist()], np.int64)
-        keep = np.zeros(len(n), bool)
-        for i in range(len(self.ids)):
-            mine = np.flatnonzero(self.owner == i)
-            keep[mine] = n[mine] <= np.median(n[mine])
-        return Items(self.ids, self.words, self.keys[keep], self.owner[keep], self.place[keep])
+
+def _seeds(block: Block, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint, first word and document of each n-gram and of each two pairs of words with none or one between."""
+    parts = [block.windows(words, SEED_WORDS)]
+    pairs = window_hash(words, 2)
+    for gap in (0, 1):
+        _, begin, doc = block.windows(words, 4 + gap)
+        parts.append((mix(pairs[begin] * _PAIR + pairs[begin + 2 + gap]), begin, doc))
+    grams, begin, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return grams, begin, doc
 
 
 def _lookup(grams: np.ndarray, keys: np.ndarray, sieve: np.ndarray) -> np.ndarray:
@@ -139,7 +144,7 @@ def _leaks(texts: list[bytes], items: Items, sieve: np.ndarray, share: float) ->
     sizes = np.array([len(w) for w in items.words])
     for base, block in _blocks([normal(t) for t in texts]):
         words = block.word_hash()
-        grams, begin, doc = block.windows(words, SEED_WORDS)
+        grams, begin, doc = _seeds(block, words)
         hits = _lookup(grams, items.keys, sieve)
         if not len(hits):
             continue
@@ -192,29 +197,9 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: st
     return [rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [rows]
 
 
-def seeds_of(docs: DataFrame, block: DataFrame, text_col: str = "text") -> Items:
-    """The items of a block with their rare seeds, document frequencies counted over all ``docs``."""
-    items = Items.of([(r.item, r.text) for r in block.orderBy("item", "text").collect()])
-    if not items.ids:
-        return items
-    keys = np.unique(items.keys)
-    sieve = _sieve(keys)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            for _, b in _blocks([normal(t) for t in as_bytes(batch.column("text"))]):
-                grams, _, doc = b.windows(b.word_hash(), SEED_WORDS)
-                hits = _lookup(grams, keys, sieve)
-                if len(hits):
-                    pairs = np.unique(np.stack([doc[hits], np.searchsorted(keys, grams[hits])], 1), axis=0)
-                    total += np.bincount(pairs[:, 1], minlength=len(keys))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], schema=arrow("seed long, df long"))
-
-    counted = map_arrow(docs.select(F.col(text_col).cast("string").alias("text")), count, "seed long, df long")
-    df = {int(keys[r[0]]): int(r[1]) for r in counted.groupBy("seed").agg(F.sum("df")).collect()}
-    return items.rare(df)
+def items_of(block: DataFrame) -> Items:
+    """The items of a block with their seeds."""
+    return Items.of([(r.item, r.text) for r in block.orderBy("item", "text").collect()])
 
 
 def leaks_column(text: Column, items: Items, share: float = SHARE) -> Column:
@@ -244,7 +229,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_c
     ship(docs.sparkSession)
     out = None
     for block in benchmark_blocks(benchmark):
-        items = seeds_of(docs, block, text_col)
+        items = items_of(block)
         part = docs.select(F.col(id_col).alias(id_col), F.explode(leaks_column(F.col(text_col), items, share)).alias("x")).select(id_col, "x.*")
         out = part if out is None else out.unionByName(part)
     return out
@@ -256,6 +241,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text
     columns = docs.columns
     out = docs
     for k, block in enumerate(benchmark_blocks(benchmark)):
-        items = seeds_of(docs, block, text_col)
+        items = items_of(block)
         out = out.withColumn(f"__textloom_leaks_{k}", leaks_column(F.col(text_col), items, share)).where(F.size(f"__textloom_leaks_{k}") == 0)
     return out.select(*columns)
