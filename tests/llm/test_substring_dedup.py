@@ -79,3 +79,11 @@ def test_odd_inputs(spark):
     df = spark.createDataFrame([(None, same), (5, same), (5, same)], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r["__n_removed"]) for r in substring_dedup.dedup(df).collect()) == [(-1, 40), (5, 0), (5, 40)]
     assert got.where(F.col("__n_words").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("length", [20, 21, 3, 2])
+def test_every_period(spark, length):
+    """A line repeated in a row, in a document that shares nothing with any other."""
+    rows = [(p, " ".join([f"p{p}w{j}" for j in range(p)] * 50)) for p in range(1, 2 * length + 1)]
+    got = {r.doc_id: r["__kept"] for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), length).collect()}
+    assert got == {i: " ".join(k) for (i, _), k in zip(rows, brute(rows, length))}

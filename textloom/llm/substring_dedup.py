@@ -72,7 +72,7 @@ class _Windows:
             self.repeated = counts > 1
             # a text with a short period holds a fingerprint twice within one run
             near = np.zeros(len(prints), bool)
-            for p in range(1, min(width, len(prints))):
+            for p in range(1, min(width + 1, len(prints))):
                 near[:-p] |= prints[:-p] == prints[p:]
             if near.any():
                 self.repeated |= np.isin(self.keys, prints[near])
