@@ -34,8 +34,10 @@ def relations(links: DataFrame, docs: DataFrame) -> DataFrame:
     return out.join(d.select(F.col("doc_id").alias("dst"), F.col("url").alias("child_url")), "child_url").select("src", "dst").distinct()
 
 
-def relations_below(edges: DataFrame, limit: int = 6000) -> DataFrame:
-    """Edges between ids below a bound: a dense matrix's cells, without the matrix."""
+def relations_below(edges: DataFrame, limit: int | None = 6000) -> DataFrame:
+    """Edges between ids below a bound, if any: a dense matrix's cells, without the matrix."""
+    if limit is None:
+        return edges
     return edges.where((F.col("src") < limit) & (F.col("dst") < limit))
 
 

@@ -642,9 +642,22 @@ def length_array(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register(f"WITH {_EDGES} SELECT src, dst FROM e WHERE src < 100 AND dst < 100")
 def relation_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """A corner of the matrix: ids below 100."""
     return graph.relations_below(_edges(spark, sf), 100)
 
 
+@_register(f"WITH {_EDGES} SELECT src, dst FROM e WHERE src < 6000 AND dst < 6000")
+def relation_matrix_6000(spark: SparkSession, sf: str) -> DataFrame:
+    """The matrix as far as the reference builds it."""
+    return graph.relations_below(_edges(spark, sf))
+
+
+@_register(f"WITH {_EDGES} SELECT src, dst FROM e")
+def relation_matrix_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole matrix, which as edges needs no bound."""
+    return graph.relations_below(_edges(spark, sf), None)
+
+
 @_register()
 def mixed_boolean(spark: SparkSession, sf: str) -> DataFrame:
     return _engine(spark, sf).mixed_boolean(f'"{PHRASE}" NOT quear')
