@@ -1,3 +1,6 @@
+import numpy as np
+import pytest
+
 from textloom import queries
 
 
@@ -9,3 +12,21 @@ def test_relation_matrix_is_whole(spark, tmp_path):
     rows = lambda name: {(r.src, r.dst) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
     assert rows("relation_matrix_full") == chain
     assert rows("relation_matrix_6000") == {(a, b) for a, b in chain if b < 6000}
+
+
+def test_all_iterations_of_the_constant_teleport(spark, tmp_path):
+    """A long chain of parts with two shortcuts: ranks still move after the first steps."""
+    n = 60
+    chain = [(k, p) for k in range(1, n) for p in (k, k + 1)]
+    spark.createDataFrame(chain + [(n, 7), (n, 30), (n + 1, 2), (n + 1, 50)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p,) for p in range(1, n + 1)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    links = np.zeros((n, n))
+    for a, b in {(k, k + 1) for k in range(1, n)} | {(7, 30), (2, 50)}:
+        links[a - 1, b - 1] = 1
+    step = 0.85 * links / np.maximum(links.sum(axis=1, keepdims=True), 1)
+    ranks = {0: np.full(n, 1 / n)}
+    for k in range(1, 101):
+        ranks[k] = ranks[k - 1] @ step + 0.15 / n
+    assert abs(ranks[100] - ranks[5]).max() > 1e-3
+    got = {r.id: r["rank"] for r in queries.QUERIES["pagerank_fixed_full"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(1, n + 1)] == pytest.approx(ranks[100].tolist(), abs=1e-12)

@@ -488,6 +488,7 @@ def pagerank_scaled_steps(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register(_rank_sql(False))
 def pagerank_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """The first steps only, as far as the SQL is unrolled."""
     return graph.page_rank(_nodes(spark, sf), _edges(spark, sf), False, _STEPS, None).withColumn("rank", F.round("rank", 9))
 
 
@@ -496,6 +497,12 @@ def pagerank_scaled(spark: SparkSession, sf: str) -> DataFrame:
     return graph.page_rank(_nodes(spark, sf), _edges(spark, sf), True, 100, 1e-4)
 
 
+@_register()
+def pagerank_fixed_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The constant teleport for all of the reference's 100 iterations."""
+    return graph.page_rank(_nodes(spark, sf), _edges(spark, sf), False, 100, None)
+
+
 @_register()
 def frontier(spark: SparkSession, sf: str) -> DataFrame:
     pages = html_documents(table(spark, sf, "pages"))
