@@ -223,7 +223,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_c
     ``score`` is the local alignment's share of the item's full score; words are
     counted after letters are folded and everything else is dropped.  A score
     below ``LEAST_WORDS`` matching words never counts unless the item is shorter
-    and matched whole.  Null texts leak nothing; null ids are kept; repeated rows
+    and matched whole; items of fewer than ``SEED_WORDS`` words are never found.  Null texts leak nothing; null ids are kept; repeated rows
     give their rows again; an empty benchmark or table gives no rows.
     """
     ship(docs.sparkSession)
