@@ -91,3 +91,21 @@ def test_dominance_keeps_an_optimum(seed):
     packed = packing.best_fit(left, capacity)
     assert Counter(x for bins, n in packed for b in [bins] * n for x in b) == Counter(left)
     assert all(sum(bins) <= capacity for bins, _ in packed)
+
+
+def test_encoder_forgets(sf_dir):
+    """With memory for few chunks the ids are the same, and no more chunks are held than asked for."""
+    import pyarrow.parquet as pq
+    from textloom.llm.kernel import Block
+
+    texts = [x.encode() for x in pq.read_table(f"{sf_dir}/documents.parquet").column("text").to_pylist()][:120]
+    texts += ["a b c".encode(), b"", b" ", b"\n\n x  y\t\tz \n", "<|endoftext|> x".encode(), b"word", b"word word\nword"]
+    small = packing.ChunkEncoder(queries.tokenizer_path(), 3000)
+    for a in range(0, len(texts), 10):
+        some = texts[a : a + 10]
+        got = small.block(Block(some))
+        want = [small.tok.encode(x.decode(), add_special_tokens=False).ids for x in some]
+        assert [g.tolist() for g in got] == want
+        n = len({c for x in some for c in x.split()})
+        assert small.known <= max(3000, 3 * n)
+        assert all((np.diff(k.astype(object)) > 0).all() for k, _, _ in small.levels)

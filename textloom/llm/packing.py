@@ -20,20 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import Block, blocks
+from .kernel import _SPACE, Block, blocks
 from .runtime import arrow, checkpointed, map_arrow, n_files, n_parts, ragged
 
 END_ID = 0
-# Lead bytes of white space beyond ASCII and of control strings; the pattern then decides.
-_HINTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"<|")
+# White space beyond ASCII and control strings, and the bytes they begin with.
 _ODD = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]|<\|")
-CACHE_CHUNKS = 700_000  # chunks a worker remembers; beyond that it starts anew
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3, 0x1C, 0x1D, 0x1E, 0x1F, ord("<")]] = True
+CACHE_CHUNKS = 1_500_000  # chunks a worker remembers, some 50 MB; a block that would pass that starts anew
+JOINED = 1000  # unknown chunks the tokenizer gets as one text
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def _encoder(path: str) -> ChunkEncoder:
     """The worker's own encoder, kept from task to task."""
-    if path not in _ENCODERS or len(_ENCODERS[path].keys) > CACHE_CHUNKS:
+    if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]
 
@@ -45,55 +47,114 @@ class ChunkEncoder:
     "optional single space + run of non-space": such chunks and the white
     space between them encode alike in every text.  Texts with white space
     beyond ASCII or with a control string go to the tokenizer as they are.
+
+    What is known lies in sorted levels, each at least twice as long as the
+    next; a level that grows too long for that is merged into the one before.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = CACHE_CHUNKS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.len = np.zeros(0, np.int64)
+        self.remember = remember
+        vocabulary = self.tok.get_vocab()
+        # one character of a token's name is one byte of text
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for name, i in vocabulary.items():
+            self.width[i] = len(name)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.known = self.used = 0
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        got = [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of each sorted key; place -1: unknown."""
+        at, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        for level, places, sizes in self.levels:
+            i = np.minimum(np.searchsorted(level, keys), len(level) - 1)
+            hit = level[i] == keys
+            at[hit], size[hit] = places[i[hit]], sizes[i[hit]]
+        return at, size
+
+    def _learn(self, keys: np.ndarray, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        ids, sizes = self._encode(buf, begin, end)
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(self.flat), len(ids)), np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
-        at = self.used + np.cumsum(sizes) - sizes
+        new = keys, (self.used + np.cumsum(sizes) - sizes).astype(np.uint32), sizes.astype(np.uint32)
         self.used += len(ids)
-        where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.len = (np.insert(a, where, b) for a, b in ((self.keys, keys), (self.at, at), (self.len, sizes)))
+        self.known += len(keys)
+        while self.levels and len(self.levels[-1][0]) < 2 * len(new[0]):
+            both = [np.concatenate(x) for x in zip(self.levels.pop(), new, strict=True)]
+            by = np.argsort(both[0], kind="stable")
+            new = both[0][by], both[1][by], both[2][by]
+        self.levels.append(new)
+
+    def _encode(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks one after another, and how many each has.
+
+        Chunks that hold a word are joined: a space that leads one divides it from
+        the last, and where none does a newline is put before it, which is a token
+        of its own.  The widths of the tokens tell where each chunk ends.
+        """
+        white = _SPACE[buf[end - 1]]
+        worded = np.flatnonzero(~white)
+        bare = buf[begin[worded]] != 0x20
+        length = end[worded] - begin[worded]
+        full = length + bare
+        stop = np.cumsum(full)
+        joined = np.full(int(full.sum()), 10, np.uint8)
+        joined[ragged(stop - length, length)] = buf[ragged(begin[worded], length)]
+        cuts = [0, *stop[JOINED - 1 :: JOINED].tolist()]
+        if len(stop) % JOINED:
+            cuts.append(int(stop[-1]))
+        data = joined.tobytes()
+        got = [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast([data[a:z].decode("utf-8", "replace") for a, z in zip(cuts, cuts[1:], strict=False)], add_special_tokens=False)]
+        ids = np.concatenate(got) if got else np.zeros(0, np.uint32)
+        reach = np.cumsum(self.width[ids])
+        last = np.searchsorted(reach, stop) + 1
+        first = np.searchsorted(reach, stop - length) + 1
+        first[stop - length == 0] = 0
+        assert len(reach) == 0 or ((reach[last - 1] == stop).all() and (reach[first - 1][first > 0] == (stop - length)[first > 0]).all()), "chunks end where tokens do"
+        blank = np.flatnonzero(white)
+        spaces = [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast([buf[a:z].tobytes().decode() for a, z in zip(begin[blank].tolist(), end[blank].tolist(), strict=True)], add_special_tokens=False)] if len(blank) else []
+        sizes, source = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        sizes[worded], source[worded] = last - first, first
+        sizes[blank] = [len(x) for x in spaces]
+        source[blank] = len(ids) + np.cumsum(sizes[blank]) - sizes[blank]
+        return np.concatenate([ids, *spaces])[ragged(source, sizes)], sizes
 
     def block(self, b: Block) -> list[np.ndarray]:
         """Ids of each text of the block."""
         n = len(b.texts)
-        odd = {i for i, x in enumerate(b.texts) if any(h in x for h in _HINTS) and _ODD.search(x)}
+        hinted = np.unique(np.searchsorted(b.at, np.flatnonzero(_LEAD[b.buf]), "right") - 1)
+        odd = [i for i in hinted.tolist() if _ODD.search(b.texts[i])]
         begin, end, doc = self._chunks(b)
+        if odd:
+            plain = ~np.isin(doc, odd)
+            begin, end, doc = begin[plain], end[plain], doc[plain]
         out: list[np.ndarray] = []
         if len(begin):
             keys, first, back = np.unique(b.span_hash(begin, end), return_index=True, return_inverse=True)
-            at = np.searchsorted(self.keys, keys)
-            known = at < len(self.keys)
-            known[known] = self.keys[at[known]] == keys[known]
-            if not known.all():
-                raw = b.buf.tobytes()
-                self._learn(keys[~known], [raw[begin[i] : end[i]].decode("utf-8", "replace") for i in first[~known]])
-                at = np.searchsorted(self.keys, keys)
-            at = at[back]
-            lengths = self.len[at]
-            ids = self.flat[ragged(self.at[at], lengths)]
+            at, lengths = self._find(keys)
+            fresh = at < 0
+            if self.known + int(fresh.sum()) > self.remember:
+                self._forget()
+                fresh[:] = True
+            if fresh.any():
+                self._learn(keys[fresh], b.buf, begin[first[fresh]], end[first[fresh]])
+                at, lengths = self._find(keys)
+            lengths = lengths[back]
+            ids = self.flat[ragged(at[back], lengths)]
             ends = np.cumsum(np.bincount(doc, lengths, n).astype(np.int64))
         else:
             ids, ends = np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        last = 0
+        last, whole = 0, set(odd)
         for i in range(n):
-            if i in odd:
+            if i in whole:
                 out.append(np.array(self.tok.encode(b.texts[i].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32))
             else:
                 out.append(ids[last : ends[i]])
