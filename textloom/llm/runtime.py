@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship as ship_package
 
@@ -27,13 +29,15 @@ def n_parts(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
 
-    One of our own is made only where the session names none, as in tests.
+    One of our own is made only where the session names none and driver and executors are one process, as in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
     return str(context.getCheckpointDir()).rstrip("/")
 
@@ -49,8 +53,47 @@ def n_files(like: DataFrame) -> int:
     that runs many partitions one after another keeps the memory of every sort.  A table of unknown size counts as huge, which
     leaves the partitions as they are.
     """
-    size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(like.sparkSession.sparkContext.defaultParallelism, min(-(-size // FILE_BYTES), 1_000_000))
+    size = plan_bytes(like)
+    return max(like.sparkSession.sparkContext.defaultParallelism, 1_000_000 if size is None else -(-size // FILE_BYTES))
+
+
+PART_BYTES, BLOCK_BYTES = 64 << 20, 8 << 20
+
+
+def plan_bytes(df: DataFrame) -> int | None:
+    """Bytes that the plan's scans read, as the optimizer estimates them; None where it cannot tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
+
+
+def layout(docs: DataFrame) -> tuple[int, int]:
+    """Numbers of document blocks and of parts of a key space, by the bytes of the input.
+
+    A block is one unit of a worker's memory and a part another; both grow in
+    number with the table, not in size.  There are at least two blocks and one part
+    for each shuffle partition of the session, so that a small table is spread as well.
+    """
+    least, size = n_parts(docs.sparkSession), plan_bytes(docs) or 0
+    return max(2 * least, -(-size // BLOCK_BYTES)), max(least, -(-size // PART_BYTES))
+
+
+def block_of(id_col: Column, text: Column, blocks: int) -> Column:
+    """Block of a row by its id; rows without an id are dealt by their text."""
+    return F.pmod(F.when(id_col.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(id_col)), F.lit(blocks))
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as one byte each, those from 255 as eight more at the end, deflated."""
+    big = counts >= 255
+    return zlib.compress(np.where(big, 255, counts).astype(np.uint8).tobytes() + counts[big].astype("<u8").tobytes(), 1)
+
+
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` counts that ``pack_counts`` packed."""
+    raw = zlib.decompress(data)
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<u8", offset=n).astype(np.int64)
+    return out
 
 
 def checkpointed(df: DataFrame, files: int | None = None) -> DataFrame:
