@@ -311,19 +311,24 @@ def score_documents(docs: DataFrame, held_out: str | None = None, order: int = O
     for k in range(3, order + 1):
         longer = answered(rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(ask_longer(k), ask_ddl))
         replies = replies.unionByName(longer.where("block IS NOT NULL").drop("tokens", "kinds"))
-    replies = replies.join(F.broadcast(size))  # one row
+    # the size of the training text goes to each block once, not along with every reply
+    nothing = lambda kind: F.lit(None).cast(kind)
+    sizes = spark.range(blocks).join(F.broadcast(size)).select(F.col("id").alias("block"), nothing("int").alias("part"), nothing("int").alias("k"), nothing("binary").alias("counts"), "tokens", "kinds")
+    replies = replies.withColumn("tokens", nothing("long")).withColumn("kinds", nothing("long")).unionByName(sizes)
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         trim()
         names, texts, is_held = _ordered(left)
+        n = len(names)
+        if not n:  # a block that no document fell into
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         line = _Line(texts)
         a = _Answers(line, range(1, order + 1), right, parts, cutoff)
-        tokens, kinds = right.column("tokens")[0].as_py(), right.column("kinds")[0].as_py()
+        tokens, kinds = (right.column(c).drop_null()[0].as_py() for c in ("tokens", "kinds"))
         seen = a.at_token(1)
         base = np.add.reduceat(np.log10((seen + 1) / (tokens + kinds + 1)), line.begins)
         known = np.add.reduceat((seen > 0).astype(np.int64), line.begins)
         total = Automaton(a, order, strengths, tokens, kinds).score()
-        n = len(names)
         return pa.table(
             [pa.array(names, pa.int64()), pa.array(is_held), pa.array(line.n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([tokens] * n, pa.int64()), pa.array(base), pa.array(total)],
             names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
