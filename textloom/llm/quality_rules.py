@@ -4,7 +4,9 @@ Each rule looks at whole-text statistics and votes good (1), bad (-1) or
 abstains (0).  The votes of a corpus are at most ``3 ** len(RULES)`` patterns;
 their counts over all documents feed an expectation-maximisation that
 estimates how each rule votes on good and on bad documents, and a document is
-kept by the posterior of its pattern, not by passing every rule.
+kept by the posterior of its pattern, not by passing every rule: one bad vote
+of a rule that is often wrong is outweighed by the others, and a pattern without
+any bad vote is dropped if good documents hardly ever abstain like that.
 """
 
 from __future__ import annotations
@@ -13,13 +15,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import checkpointed, n_files
 from .stats import BASE, MORE, document_stats
 
-Thresholds = tuple[str, Column, Column]
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -34,24 +36,28 @@ class Rule:
         return F.when(bad & ~good, -1).when(good & ~bad, 1).otherwise(0)
 
 
+#: Several rules see each kind of junk, or nothing but chance would tell it from rare good documents.
 RULES: tuple[Rule, ...] = (
-    Rule("symbols", "n_symbols * 20 > n_words", "n_symbols * 100 <= n_words"),
-    Rule("repeats", "n_repeat_words * 10 > n_words", "n_repeat_words * 50 <= n_words"),
+    Rule("symbols", "n_symbols * 10 > n_words", "n_symbols * 100 <= n_words"),
+    Rule("punctuation", "n_punct * 10 > word_chars", "n_punct * 100 >= word_chars AND n_punct * 16 <= word_chars"),
+    Rule("repeats", "n_repeat_words * 5 > n_words", "n_repeat_words * 50 <= n_words"),
     Rule("dup_lines", "n_dup_lines * 5 > n_lines AND n_lines > 4", "n_dup_lines * 20 <= n_lines AND n_lines > 2"),
     Rule("same_next", "n_same_next * 10 > n_words", "n_same_next * 50 <= n_words"),
+    Rule("distinct", "n_distinct_words * 100 < 58 * n_words AND n_words <= 2000", "n_distinct_words * 100 >= 65 * n_words AND n_words >= 20"),
     Rule("upper", "n_upper * 3 > word_chars", "n_upper * 10 <= word_chars"),
-    Rule("word_length", "word_chars > 12 * n_words OR word_chars < 2 * n_words", "word_chars BETWEEN 3 * n_words AND 8 * n_words"),
-    Rule("few_words", "n_words < 10", "n_words >= 100"),
-    Rule("punctuation", "n_punct * 6 > word_chars", "n_punct * 60 BETWEEN word_chars AND 6 * word_chars"),
+    Rule("capitals", "n_capital_words * 2 > n_words", "n_capital_words * 5 <= n_words"),
+    Rule("bangs", "n_bang * 10 > n_words", "n_bang * 100 <= n_words"),
+    Rule("word_length", "word_chars * 2 > 13 * n_words OR word_chars < 3 * n_words", "word_chars * 2 >= 7 * n_words AND word_chars <= 6 * n_words"),
+    Rule("few_words", "n_words < 10", "n_words >= 50"),
 )
 
 
 def _with_votes(stats: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``__pattern``: the votes as one base-3 number."""
-    code = F.lit(0)
+    code = F.lit(0).cast("long")
     for r in rules:
         code = code * 3 + (r.vote() + 1)
-    return stats.withColumn("__pattern", code.cast("long"))
+    return stats.withColumn("__pattern", code)
 
 
 def _votes(pattern: int, n: int) -> list[int]:
@@ -64,94 +70,72 @@ def _votes(pattern: int, n: int) -> list[int]:
 
 @dataclass(frozen=True)
 class VoteModel:
-    """Latent classes: good first, then one kind of bad for each rule.
-
-    ``shares``: of each class; ``tables[class][rule]``: P(vote) of -1, 0, 1.
-    """
+    """Share of good documents, and for good and for bad ones each rule's P(vote) of -1, 0, 1."""
 
-    shares: tuple[float, ...]
-    tables: tuple[tuple[tuple[float, ...], ...], ...]
-
-    def classes(self, votes: Sequence[int]) -> list[float]:
-        logs = [math.log(s) + sum(math.log(t[v + 1]) for t, v in zip(table, votes, strict=True)) for s, table in zip(self.shares, self.tables, strict=True)]
-        top = max(logs)
-        rel = [math.exp(x - top) for x in logs]
-        return [x / sum(rel) for x in rel]
+    share: float
+    good: tuple[tuple[float, ...], ...]
+    bad: tuple[tuple[float, ...], ...]
 
     def posterior(self, votes: Sequence[int]) -> float:
-        return self.classes(votes)[0]
+        z = math.log(1 - self.share) - math.log(self.share)
+        for g, b, v in zip(self.good, self.bad, votes, strict=True):
+            z += math.log(b[v + 1]) - math.log(g[v + 1])
+        return 1 / (1 + math.exp(min(z, 700.0)))
 
     def accuracies(self) -> list[float]:
-        """Estimated share of a rule's votes that are right."""
-        out = []
-        for r in range(len(self.tables[0])):
-            right = self.shares[0] * self.tables[0][r][2] + sum(s * t[r][0] for s, t in zip(self.shares[1:], self.tables[1:], strict=True))
-            wrong = self.shares[0] * self.tables[0][r][0] + sum(s * t[r][2] for s, t in zip(self.shares[1:], self.tables[1:], strict=True))
-            out.append(right / (right + wrong))
-        return out
-
-
-def fit_votes(patterns: dict[int, int], n_rules: int, rounds: int = 200, smooth: float = 1.0, doubt: float = 0.1, slip: float = 0.01) -> VoteModel:
-    """Expectation-maximisation over counted patterns.
-
-    Junk comes in kinds that few rules see together, so one class of bad for
-    all would read most of it as noise among the good.  Each rule therefore
-    begins a class of its own: a pattern starts as good if no rule calls it bad,
-    else with weight ``doubt``, the rest divided among the classes of the rules
-    that do; a rule misses its own kind with probability ``2 * slip``, which
-    ties the class to it.  ``smooth`` pseudo-votes keep every probability off 0
-    and 1.  An empty corpus gives the pseudo-votes alone.
+        """Estimated share of a rule's votes, abstentions aside, that are right."""
+        s = self.share
+        return [(s * g[2] + (1 - s) * b[0]) / (s * (g[0] + g[2]) + (1 - s) * (b[0] + b[2])) for g, b in zip(self.good, self.bad, strict=True)]
+
+
+def first_guess(votes: np.ndarray) -> np.ndarray:
+    """Where the estimation starts: 0.95 without a bad vote, 0.6 with some, 0.1 where most votes are bad."""
+    bad, cast = (votes == -1).sum(axis=1), (votes != 0).sum(axis=1)
+    return np.where(2 * bad > cast, 0.1, np.where(bad > 0, 0.6, 0.95))
+
+
+def fit_votes(patterns: dict[int, int], n_rules: int, rounds: int = 500, smooth: float = 1.0) -> VoteModel:
+    """Expectation-maximisation over counted patterns, until no posterior moves.
+
+    Two classes, good and bad; how often each rule votes bad, abstains and votes
+    good in each of them is estimated for every rule alike, none is given.
+    ``smooth`` pseudo-votes of each kind, and one more of the right kind, keep
+    probabilities off 0 and 1 and the classes by their names; an empty corpus
+    gives the pseudo-votes alone.
     """
-    rows = [(_votes(p, n_rules), c) for p, c in sorted(patterns.items())]
-    post = []
-    for votes, _ in rows:
-        against = [v == -1 for v in votes]
-        n = sum(against)
-        post.append([doubt] + [(1 - doubt) * x / n for x in against] if n else [1.0] + [0.0] * n_rules)
-    model = VoteModel((), ())
+    votes = np.array([_votes(p, n_rules) for p in sorted(patterns)], np.int64).reshape(len(patterns), n_rules)
+    count = np.array([patterns[p] for p in sorted(patterns)], np.float64)
+    post = first_guess(votes)
     for _ in range(rounds):
-        weight = [1.0] * (n_rules + 1)
-        seen = [[[smooth] * 3 for _ in range(n_rules)] for _ in range(n_rules + 1)]
-        for k in range(n_rules + 1):
-            for r in range(n_rules):
-                seen[k][r][2 if k == 0 else 0] += smooth if k in (0, r + 1) else 0
-        for (votes, c), of in zip(rows, post, strict=True):
-            for k, p in enumerate(of):
-                if p:
-                    weight[k] += p * c
-                    for r, v in enumerate(votes):
-                        seen[k][r][v + 1] += p * c
-        total = sum(weight)
-        tables = [[tuple(x / sum(t) for x in t) for t in table] for table in seen]
-        for r in range(n_rules):
-            tables[r + 1][r] = (1 - 2 * slip, slip, slip)
-        model = VoteModel(tuple(w / total for w in weight), tuple(map(tuple, tables)))
-        new = [model.classes(v) for v, _ in rows]
-        moved = max((abs(a[0] - b[0]) for a, b in zip(new, post, strict=True)), default=0.0)
+        tables = []
+        for mine, right in ((post * count, 1), (count - post * count, -1)):
+            seen = np.stack([mine @ (votes == v) + smooth * (1 + (v == right)) for v in (-1, 0, 1)], axis=1)
+            tables.append(seen / seen.sum(axis=1, keepdims=True))
+        share = (float(post @ count) + 1) / (count.sum() + 2)
+        rules = np.arange(n_rules)
+        logs = [np.log(t)[rules, votes + 1].sum(axis=1) for t in tables]
+        new = 1 / (1 + np.exp(np.minimum(math.log(1 - share) - math.log(share) + logs[1] - logs[0], 700.0)))
+        moved = float(np.abs(new - post).max(initial=0.0))
         post = new
         if moved < 1e-9:
             break
-    return model
+    return VoteModel(share, *(tuple(map(tuple, t.tolist())) for t in tables))
 
 
 def quality_votes(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Statistics, ``quality`` (posterior) and ``is_good`` of every row.
 
-    The fit takes one pass that returns the pattern counts of all documents.
-    Null texts count as empty; null ids, repeated rows and empty tables pass
-    through; other columns are ignored.
+    The statistics, a few numbers a document, are computed once and checkpointed;
+    the fit counts their patterns over all documents, at most ``3 ** len(rules)``
+    rows whatever the corpus holds.  Null texts count as empty; null ids, repeated
+    rows and empty tables pass through; other columns are ignored; a text of any
+    length is looked at whole; at a posterior of just ``threshold`` a document is good.
     """
-    stats = document_stats(docs, BASE + MORE, id_col, text_col)
+    stats = checkpointed(document_stats(docs, BASE + MORE, id_col, text_col), n_files(docs))
     voted = _with_votes(stats, rules)
     counts = {int(r[0]): int(r[1]) for r in voted.groupBy("__pattern").count().collect()}
     model = fit_votes(counts, len(rules))
-    weights = []
-    for share, table in zip(model.shares, model.tables, strict=True):
-        log = F.lit(math.log(share))
-        for rule, t in zip(rules, table, strict=True):
-            log = log + F.element_at(F.array(*(F.lit(math.log(x)) for x in t)), rule.vote() + 2)
-        weights.append(log)
-    voted = voted.withColumn("__logs", F.array(*weights))
-    top = F.array_max("__logs")
-    share = F.exp(F.element_at("__logs", 1) - top) / F.aggregate(F.transform("__logs", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
-    return voted.withColumn("quality", share).withColumn("is_good", F.col("quality") >= threshold).drop("__pattern", "__logs")
+    z = F.lit(math.log(1 - model.share) - math.log(model.share))
+    for rule, g, b in zip(rules, model.good, model.bad, strict=True):
+        z = z + F.element_at(F.array(*(F.lit(math.log(y) - math.log(x)) for x, y in zip(g, b, strict=True))), rule.vote() + 2)
+    return voted.withColumn("quality", 1 / (1 + F.exp(F.least(z, F.lit(700.0))))).withColumn("is_good", F.col("quality") >= threshold).drop("__pattern")
