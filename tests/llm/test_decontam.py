@@ -42,7 +42,7 @@ def test_query_finds_all_copies(spark, sf_dir):
 def test_edited_copies_and_clean_documents(spark):
     rng = random.Random(7)
     vocab = [f"w{i}" for i in range(400)] + ["the", "of", "and"] * 60
-    items = [(i, " ".join(rng.choices(vocab, k=rng.randrange(20, 50)))) for i in range(30)] + [(99, "too short"), (98, None), (None, "")]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randrange(20, 50)))) for i in range(30)] + [(99, "qq zz"), (98, None), (None, "")]
     rows, want = [], set()
     for k in range(120):
         text = rng.choices(vocab, k=300)
@@ -66,6 +66,60 @@ def test_edited_copies_and_clean_documents(spark):
     assert kept == set(range(120)) - {k for k, _ in want}
 
 
+def all_pairs(docs, items):
+    """Every document aligned whole with every item: (doc, item) -> share of the full score."""
+    out = {}
+    words = lambda t: decontam.Block([decontam.normal((t or "").encode())]).word_hash()
+    own = [(i, words(t)) for i, t in items]
+    for d, text in docs:
+        w = words(text)
+        some = [(i, q) for i, q in own if len(q) and len(w)]
+        if some:
+            score, _, _ = decontam.align([q for _, q in some], [w] * len(some))
+            for (i, q), x in zip(some, score.tolist()):
+                if x >= max(len(q), 2 * min(len(q), 8)):
+                    out[d, i] = x / (2 * len(q))
+    return out
+
+
+def test_query_against_all_pairs(spark, sf_dir):
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = {(r.doc_id, r.item_id): r.score for r in queries.op9_benchmark_decontamination(spark, sf_dir).collect()}
+    assert got == pytest.approx(all_pairs(docs, items))
+
+
+@pytest.mark.parametrize("kind", ["change", "insert", "drop", "mixed"])
+def test_edits_against_all_pairs(spark, kind):
+    """Copies with an edit at every 1st to 6th word, evenly or at random, among common words: all leaks and nothing else, so a recall of 1."""
+    rng = random.Random(kind)
+    common = ["the", "of", "and", "to", "in"]
+    items, docs = [], []
+    for i in range(60):
+        m = rng.choice((1, 2, 3, 5, 7, 8, 9, 12, 20, 24, 40, 60))
+        items.append((i, " ".join(rng.choice(common) if rng.random() < 0.4 else f"i{i}x{j}" for j in range(m))))
+        for step in range(1, 7):
+            out = []
+            for j, w in enumerate(items[-1][1].split()):
+                edit = rng.random() * step < 1 if step % 2 else j % step == step - 1
+                what = rng.choice(("change", "insert", "drop")) if kind == "mixed" else kind
+                out += [w] if not edit else [w, rng.choice([*common, "more"])] if what == "insert" else [rng.choice([*common, "other"])] if what == "change" else []
+            pad = lambda: [rng.choice([*common, f"c{rng.randrange(300)}"]) for _ in range(rng.randrange(0, 90))]
+            docs.append((10 * i + step, " ".join(pad() + out + pad())))
+    want = all_pairs(docs, items)
+    found = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.score for r in found.collect()} == pytest.approx(want)
+    assert len(want) > 60
+
+
+def test_short_items_nulls_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "x yes, NO y"), (1, "x yes, NO y"), (None, "yes no"), (2, "no yes"), (3, None), (4, ""), (5, "a b c d " * 30_000 + "yes no")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "yes no"), (8, "absent"), (9, "d")], "item_id long, text string")
+    got = sorted([tuple(r) for r in decontam.find_leaks(docs, bench).collect()], key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert [r[:2] for r in got] == [(1, 7), (1, 7), (5, 7), (5, 9), (None, 7)] and all(r[2] == 1 for r in got)
+    assert got[0][3:] == (1, 3) and got[2][3:] == (120_000, 120_002) and got[3][3:] == (3, 4)
+
+
 def test_blocks_give_the_same(spark, sf_dir, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(map(tuple, decontam.find_leaks(docs, bench).collect()))

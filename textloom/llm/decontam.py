@@ -1,12 +1,19 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-All n-grams of a test item are seeds: which of them an edited copy keeps, and
-how common its other copies make them, cannot be known beforehand.  Pairs of
-words next to each other or one word apart are seeds too, for a copy in which
-every third word is edited.  A document that shares seeds with an item has the
-passage around them aligned with the item word by word, with gaps, and counts as
-leaked if the local score reaches a share of the item's own, so edits and
-paraphrases of single words do not hide a copy.
+A seed is three words of a test item in order, with up to two of the item's words
+left out between them, and it meets any three words of a document with up to two
+more between them.  That loses nothing at the default share: an alignment whose
+score is half of the item's full one has no more edits than matches, and no test
+item of eight words or more can reach it with under eight matches, so somewhere
+three matches in a row have two edits or fewer between them.  Shorter items count only
+where they stand whole, and so do items of one or two words, which are their own seeds.
+
+A document that shares a seed with an item gets the passage around it, as far
+as such an alignment can reach, compared with the item: first how many of the
+item's words the passage holds at all, which bounds the score; then, if that
+leaves it possible, word by word with gaps.  It counts as leaked if the local
+score reaches a share of the item's own, so edits and paraphrases of single words
+do not hide a copy.
 
 Test items are the query set.  They travel to the executors in blocks of at
 most ``BLOCK_BYTES`` of text; a larger benchmark takes more passes, not more memory.
@@ -22,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Block, as_bytes, mix, window_hash
+from .kernel import Block, as_bytes, mix
 from .license_scan import normal
-from .runtime import ship, trim
+from .runtime import ragged, ship, trim
 
 BLOCK_BYTES = 8 << 20
 SEED_WORDS = 3
@@ -33,7 +40,10 @@ SHARE = 0.5
 LEAST_WORDS = 8
 
 _BITS = 22
-_PAIR = np.uint64(0x9E3779B97F4A7C15)
+_PLACE = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+#: How far the second word is from the first, and the third from the second: two words at most left out.
+SPREADS = ((1, 1), (1, 2), (2, 1), (1, 3), (3, 1), (2, 2))
+CELLS = 4 << 20  # cells of the alignments that advance together
 
 
 @dataclass
@@ -48,16 +58,15 @@ class Items:
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str | None]]) -> Items:
-        """Items shorter than a seed cannot be told from chance and are left out."""
+        """Items without a word have no seed and are left out."""
         ids, words, keys, owner, place = [], [], [], [], []
         for item, text in rows:
-            block = Block([normal((text or "").encode())])
-            w = block.word_hash()
-            if len(w) >= SEED_WORDS:
-                g, at, _ = _seeds(block, w)
+            w = Block([normal((text or "").encode())]).word_hash()
+            for g, at in _seeds(w, np.array([len(w)]), np.zeros(1, np.int64), {len(w)}):
                 keys.append(g)
                 owner.append(np.full(len(g), len(ids)))
                 place.append(at)
+            if len(w):
                 ids.append(item)
                 words.append(w)
         if not ids:
@@ -67,15 +76,27 @@ class Items:
         return cls(ids, words, k[by], o[by], p[by])
 
 
-def _seeds(block: Block, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint, first word and document of each n-gram and of each two pairs of words with none or one between."""
-    parts = [block.windows(words, SEED_WORDS)]
-    pairs = window_hash(words, 2)
-    for gap in (0, 1):
-        _, begin, doc = block.windows(words, 4 + gap)
-        parts.append((mix(pairs[begin] * _PAIR + pairs[begin + 2 + gap]), begin, doc))
-    grams, begin, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return grams, begin, doc
+def _seeds(words: np.ndarray, sizes: np.ndarray, first: np.ndarray, lengths: set[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Fingerprints and first words of the seeds of some texts, kind by kind.
+
+    ``sizes`` and ``first``: words of each text and the number of its first one;
+    ``lengths``: how long the items are, as seeds of one or two words are for items of
+    just that length.
+    """
+
+    def begins(span: int) -> np.ndarray:
+        counts = np.maximum(sizes - span + 1, 0)
+        return np.arange(int(counts.sum())) + np.repeat(first - (np.cumsum(counts) - counts), counts)
+
+    if any(n >= SEED_WORDS for n in lengths):
+        for a, b in SPREADS:
+            at = begins(a + b + 1)
+            yield mix(words[at] * _PLACE[0] + words[at + a] * _PLACE[1] + words[at + a + b] * _PLACE[2]), at
+    if 2 in lengths:
+        at = begins(2)
+        yield mix(words[at] * _PLACE[1] + words[at + 1] * _PLACE[0]), at
+    if 1 in lengths:
+        yield mix(words * _PLACE[2]), np.arange(len(words))
 
 
 def _lookup(grams: np.ndarray, keys: np.ndarray, sieve: np.ndarray) -> np.ndarray:
@@ -142,46 +163,49 @@ def _leaks(texts: list[bytes], items: Items, sieve: np.ndarray, share: float) ->
     if not len(items.keys):
         return out
     sizes = np.array([len(w) for w in items.words])
+    lengths = set(sizes.tolist())
+    need = np.maximum(share * MATCH * sizes, MATCH * np.minimum(sizes, LEAST_WORDS))
     for base, block in _blocks([normal(t) for t in texts]):
         words = block.word_hash()
-        grams, begin, doc = _seeds(block, words)
-        hits = _lookup(grams, items.keys, sieve)
-        if not len(hits):
+        spots: list[np.ndarray] = []
+        for grams, begin in _seeds(words, block.n_words, block.first[:-1], lengths):
+            hits = _lookup(grams, items.keys, sieve)
+            lo, hi = np.searchsorted(items.keys, grams[hits]), np.searchsorted(items.keys, grams[hits], "right")
+            times = hi - lo
+            seed = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            begin = np.repeat(begin[hits], times)
+            d, item = np.searchsorted(block.first, begin, "right") - 1, items.owner[seed]
+            # one passage for each document, item and run of diagonals as long as the item
+            tile = np.floor_divide(begin - block.first[d] - items.place[seed], sizes[item])
+            spots.append(np.unique(np.stack([d, item, tile], 1), axis=0))
+        spot = np.unique(np.concatenate(spots), axis=0) if spots else np.zeros((0, 3), np.int64)
+        if not len(spot):
             continue
-        lo, hi = np.searchsorted(items.keys, grams[hits]), np.searchsorted(items.keys, grams[hits], "right")
-        times = hi - lo
-        seed = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        d, item, where = np.repeat(doc[hits], times), items.owner[seed], items.place[seed]
-        diagonal = np.repeat(begin[hits], times) - block.first[d] - where
-        # one passage for each document, item and run of diagonals as long as the item
-        tile = np.floor_divide(diagonal, sizes[item])
-        spots, back = np.unique(np.stack([d, item, tile], 1), axis=0, return_inverse=True)
-        pairs, pair_of = np.unique(spots[:, :2], axis=0, return_inverse=True)
-        seeds = np.unique(np.stack([pair_of.ravel()[back.ravel()], where], 1), axis=0)
-        distinct = np.bincount(seeds[:, 0], minlength=len(pairs))
-        enough = distinct >= np.where(sizes[pairs[:, 1]] >= 2 * SEED_WORDS, 2, 1)
-        spots = spots[enough[pair_of.ravel()]]
-        spots = spots[np.argsort(sizes[spots[:, 1]], kind="stable")]
+        # as far as an alignment can reach that goes through one of the diagonals: an item's length either way
+        m = sizes[spot[:, 1]]
+        first, last = block.first[spot[:, 0]], block.first[spot[:, 0] + 1]
+        begin, end = np.maximum(first, first + (spot[:, 2] - 1) * m), np.minimum(last, first + (spot[:, 2] + 3) * m)
+        possible = _possible(items, spot[:, 1], words, begin, end, need)
+        spot, begin, end = spot[possible], begin[possible], end[possible]
+        by = np.argsort(end - begin, kind="stable")
+        spot, begin, end = spot[by], begin[by], end[by]
         found: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for a in range(0, len(spots), 64):
-            some = spots[a : a + 64]
+        a = 0
+        while a < len(spot):
+            z = a + 1
+            while z < len(spot) and (z + 1 - a) * int(end[z] - begin[z]) <= CELLS and z - a < 256:
+                z += 1
+            some, start, passages = spot[a:z], begin[a:z] - block.first[spot[a:z, 0]], [words[s:e] for s, e in zip(begin[a:z].tolist(), end[a:z].tolist(), strict=True)]
+            a = z
             q = [items.words[i] for i in some[:, 1]]
-            starts, passages = [], []
-            for t, i, k in some.tolist():
-                m = int(sizes[i])
-                first, last = int(block.first[t]), int(block.first[t + 1])
-                s = max(first, first + k * m - m // 2 - 8)
-                passages.append(words[s : min(last, first + (k + 2) * m + m // 2 + 8)])
-                starts.append(s - first)
             score, end_q, end_d = align(q, passages)
-            need = np.maximum(share * MATCH * sizes[some[:, 1]], np.minimum(MATCH * sizes[some[:, 1]], MATCH * LEAST_WORDS))
-            good = np.flatnonzero(score >= need)
+            good = np.flatnonzero(score >= need[some[:, 1]])
             if not len(good):
                 continue
             _, _, back_d = align([q[g][: end_q[g]][::-1] for g in good], [passages[g][: end_d[g]][::-1] for g in good])
             for g, b in zip(good.tolist(), back_d.tolist(), strict=True):
                 t, i, _ = some[g].tolist()
-                value = (float(score[g]) / (MATCH * int(sizes[i])), starts[g] + int(end_d[g]) - b, starts[g] + int(end_d[g]))
+                value = (float(score[g]) / (MATCH * int(sizes[i])), int(start[g] + end_d[g]) - b, int(start[g] + end_d[g]))
                 if (t, i) not in found or (-value[0], value[1]) < (-found[t, i][0], found[t, i][1]):
                     found[t, i] = value
         for (t, i), value in sorted(found.items()):
@@ -189,6 +213,28 @@ def _leaks(texts: list[bytes], items: Items, sieve: np.ndarray, share: float) ->
     return out
 
 
+def _possible(items: Items, item: np.ndarray, words: np.ndarray, begin: np.ndarray, end: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether a passage holds enough of its item's words for the score needed, whatever their order."""
+    out = np.zeros(len(item), bool)
+    by = np.argsort(item, kind="stable")
+    cuts = np.flatnonzero(np.diff(item[by])) + 1
+    for mine in np.split(by, cuts):
+        q = items.words[item[mine[0]]]
+        least = need[item[mine[0]]] / MATCH
+        # each distinct word of the item, and how often it has it
+        vocabulary, times = np.unique(q, return_counts=True)
+        length = end[mine] - begin[mine]
+        for at in range(0, len(mine), max(1, CELLS // int(length.max()))):
+            some = mine[at : at + max(1, CELLS // int(length.max()))]
+            n = end[some] - begin[some]
+            own = words[ragged(begin[some], n)]
+            place = np.minimum(np.searchsorted(vocabulary, own), len(vocabulary) - 1)
+            hit = vocabulary[place] == own
+            seen = np.unique(np.repeat(np.arange(len(some)), n)[hit] * len(vocabulary) + place[hit])
+            out[some] = np.bincount(seen // len(vocabulary), times[seen % len(vocabulary)], len(some)) >= least
+    return out
+
+
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_BYTES) -> list[DataFrame]:
     """The distinct test items in parts of about ``limit`` bytes at most."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").distinct()
@@ -223,8 +269,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_c
     ``score`` is the local alignment's share of the item's full score; words are
     counted after letters are folded and everything else is dropped.  A score
     below ``LEAST_WORDS`` matching words never counts unless the item is shorter
-    and matched whole; items of fewer than ``SEED_WORDS`` words are never found.  Null texts leak nothing; null ids are kept; repeated rows
-    give their rows again; an empty benchmark or table gives no rows.
+    and matched whole, so an item of one word leaks into every text with that
+    word.  From a ``share`` of 0.5 every leak is found; below that an alignment with
+    more edits than matches may have no seed.  Of equal scores of one item in a
+    text the first place counts.  Null texts leak nothing; null ids are kept; repeated
+    rows give their rows again; other columns are ignored; an empty benchmark or
+    table gives no rows; a text of any length is searched whole.
     """
     ship(docs.sparkSession)
     out = None
