@@ -10,7 +10,7 @@ cut; a block simply holds as many whole documents as fit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -152,9 +152,10 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
-def blocks(batch: pa.RecordBatch, text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[slice, Block]]:
-    """The batch in runs of whole documents of about ``limit`` bytes."""
+def blocks(batch: pa.RecordBatch, text: str = "text", limit: int = BLOCK_BYTES, change: Callable[[bytes], bytes] | None = None) -> Iterator[tuple[slice, Block]]:
+    """The batch in runs of whole documents of about ``limit`` bytes, each text changed first if asked."""
     texts = as_bytes(batch.column(text))
+    texts = [change(x) for x in texts] if change else texts
     begin = size = 0
     for i, x in enumerate(texts):
         if size and size + len(x) > limit:

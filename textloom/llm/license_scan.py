@@ -4,21 +4,29 @@ Text is normalised (letters folded, everything but letters and digits to
 spaces).  A template with m distinct bigrams can only reach the threshold t in
 a passage with between ``t/(2-t) * m`` and ``(2-t)/t * m`` of them, of which at
 least ``t/(2-t) * m`` must be the template's own; these bounds prune templates
-before any passage is compared, and the passages compared begin and end at
-bigrams of the template, so the work follows the matches and not the text.
+before any passage is compared.  A passage begins and ends at bigrams of the
+template and has, repeats counted, no more bigrams than the whole template's
+upper bound, so the work is the number of matches times the length of a template,
+however often a text repeats it.  Templates of one family match one another's
+texts; of passages that overlap the one with more of its own template's bigrams
+stands, so an AGPL header is that and not a GPL header with a word too many.
 """
 
 from __future__ import annotations
 
+import importlib.resources
 import math
+from bisect import bisect
 from collections.abc import Iterator, Mapping
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Block, as_bytes, window_hash
+from .kernel import Block, blocks, window_hash
 from .runtime import arrow, map_arrow
 
 # Notices and headers of public licences.
@@ -53,85 +61,130 @@ def normal(text: bytes) -> bytes:
     return text.translate(_NORMAL)
 
 
+@cache
+def templates() -> dict[str, str]:
+    """The notices and headers above, and the whole texts of the folder ``licences``, named by their files."""
+    whole = importlib.resources.files(__package__).joinpath("licences")
+    return TEMPLATES | {f"{x.name.removesuffix('.txt')} text": x.read_text("utf-8") for x in sorted(whole.iterdir(), key=lambda x: x.name) if x.name.endswith(".txt")}
+
+
 def _bigrams(text: bytes) -> np.ndarray:
     return window_hash(Block([normal(text)]).word_hash(), 2)
 
 
-def passages(grams: np.ndarray, hits: np.ndarray, template: frozenset[int], threshold: float) -> list[tuple[float, int, int]]:
-    """Best disjoint passages as (dice, first bigram, last bigram); ties: the earlier, then the shorter.
+class Template:
+    """Bigrams of a licence and the sizes that a passage like it can have."""
+
+    def __init__(self, text: str, threshold: float):
+        grams = _bigrams(text.encode())
+        self.grams = np.unique(grams)
+        self.m, self.threshold = len(self.grams), threshold
+        self.least = max(1, math.ceil(threshold / (2 - threshold) * self.m - 1e-9))
+        self.most = math.floor((2 - threshold) / threshold * self.m + 1e-9)
+        self.reach = max(self.most, math.floor((2 - threshold) / threshold * len(grams) + 1e-9))
+
+
+CELLS = 1 << 19  # starts times reach that are compared at a time
 
-    ``hits``: places in ``grams`` of the template's bigrams.
+
+def previous(grams: np.ndarray) -> np.ndarray:
+    """Where each bigram stood last before, or -1."""
+    by = np.argsort(grams, kind="stable")
+    out = np.full(len(grams), -1, np.int64)
+    same = np.flatnonzero(grams[by][1:] == grams[by][:-1]) + 1
+    out[by[same]] = by[same - 1]
+    return out
+
+
+def passages(before: np.ndarray, hits: np.ndarray, t: Template) -> list[tuple[float, int, int, int]]:
+    """Best disjoint passages as (dice, first bigram, last bigram, own bigrams); ties: the earlier, then the shorter.
+
+    ``before``: where each bigram of the text stood last; ``hits``: places of the template's.
     """
-    m = len(template)
-    least = math.ceil(threshold / (2 - threshold) * m - 1e-9)
-    most = math.floor((2 - threshold) / threshold * m + 1e-9)
-    found: list[tuple[float, int, int]] = []
-    places = hits.tolist()
-    values = grams.tolist() if len(grams) < 4096 else None
-    for a, begin in enumerate(places):
-        own: set[int] = set()
-        every: set[int] = set()
-        at = begin
-        best: tuple[float, int, int] | None = None
-        for end in places[a:]:
-            for g in values[at : end + 1] if values is not None else grams[at : end + 1].tolist():
-                every.add(g)
-                if g in template:
-                    own.add(g)
-            at = end + 1
-            if len(every) > most:
-                break
-            dice = 2 * len(own) / (m + len(every))
-            if len(every) >= least and dice >= threshold and (best is None or dice > best[0]):
-                best = (dice, begin, end)
-        if best:
-            found.append(best)
-    out: list[tuple[float, int, int]] = []
-    for d, a, z in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-        if all(z < b or a > e for _, b, e in out):
-            out.append((d, a, z))
-    return sorted(out, key=lambda x: x[1])
-
-
-def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per passage and template: id, licence, dice, first_word, n_words.
-
-    Passages of one template in one text are disjoint; places count normalised
-    words.  Null or empty texts and texts of one word give no rows; null ids are
-    kept; repeated rows give their rows again; other columns are ignored.
+    begins = hits[np.searchsorted(hits, hits + t.reach) - np.arange(len(hits)) >= t.least]
+    if not len(begins):
+        return []
+    inside = np.zeros(len(before) + t.reach, bool)
+    inside[hits] = True
+    last = np.full(len(before) + t.reach, len(before) + t.reach)
+    last[: len(before)] = before
+    own_in, last_in = sliding_window_view(inside, t.reach), sliding_window_view(last, t.reach)
+    found: list[tuple[float, int, int, int]] = []
+    step, at = max(1, min(CELLS // t.reach, max(64, t.reach // 2))), 0  # few starts at a time, as those inside a whole copy are passed over
+    while at < len(begins):
+        b = begins[at : at + step]
+        fresh = last_in[b] < b[:, None]
+        every = np.cumsum(fresh, axis=1, dtype=np.int32)
+        own = np.cumsum(fresh & own_in[b], axis=1, dtype=np.int32)
+        dice = np.where(own_in[b] & (every >= t.least) & (every <= t.most), 2 * own / (t.m + every), 0.0)
+        end = dice.argmax(axis=1)
+        rows = np.arange(len(b))
+        best = dice[rows, end]
+        good = np.flatnonzero(best >= t.threshold)
+        at += len(b)
+        whole = np.flatnonzero(best[good] == 1)
+        if len(whole):  # nothing is better, so what begins inside it is beaten
+            good = good[: whole[0] + 1]
+            at = int(np.searchsorted(begins, b[good[-1]] + end[good[-1]], "right"))
+        found += [(float(best[i]), int(b[i]), int(b[i] + end[i]), int(own[i, end[i]])) for i in good.tolist()]
+    return disjoint(sorted(found, key=lambda x: (-x[0], x[1], x[2])), lambda x: (x[1], x[2]))
+
+
+def disjoint(ranked: list, span) -> list:  # noqa: ANN001
+    """Of ranked entries those whose spans (first, last) meet none of a better one, in order of place."""
+    begins: list[int] = []
+    kept: list = []
+    for x in ranked:
+        a, z = span(x)
+        i = bisect(begins, a)
+        if (i == 0 or span(kept[i - 1])[1] < a) and (i == len(kept) or span(kept[i])[0] > z):
+            begins.insert(i, a)
+            kept.insert(i, x)
+    return kept
+
+
+def scan(docs: DataFrame, texts: Mapping[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per passage: id, licence, dice, first_word, n_words.
+
+    ``texts``: templates by name, ``templates()`` by default.  Passages of one text
+    are disjoint; of those that overlap the one with most bigrams of its template
+    stands, of equals the higher Dice, then the earlier, then the first name.
+    Places count normalised words.  Null or empty texts and texts of one word give
+    no rows; null ids are kept; repeated rows give their rows again; other columns
+    are ignored; a text of any length is scanned whole; an empty table gives no rows.
     """
-    names = list(templates)
-    sets = [frozenset(_bigrams(t.encode()).tolist()) for t in templates.values()]
-    sizes = [math.ceil(threshold / (2 - threshold) * len(s) - 1e-9) for s in sets]
-    keys = np.array(sorted({g for s in sets for g in s}), np.uint64)
-    member = [np.array([k in s for k in keys.tolist()], bool) for s in sets]
+    texts = templates() if texts is None else texts
+    names = list(texts)
+    forms = [Template(t, threshold) for t in texts.values()]
+    keys = np.unique(np.concatenate([t.grams for t in forms]))
+    member = [np.isin(keys, t.grams) for t in forms]
     ddl = f"{id_col} long, licence string, dice double, first_word long, n_words long"
 
+    def of_text(grams: np.ndarray, hits: np.ndarray, key: np.ndarray) -> list[tuple[str, float, int, int]]:
+        """``hits``: places of bigrams that some template has; ``key``: which."""
+        before = None
+        ranked = []
+        present = np.unique(key)
+        for name, t, inside in zip(names, forms, member, strict=True):
+            if inside[present].sum() >= t.least:
+                before = previous(grams) if before is None else before
+                ranked += [(-own, -dice, a, name, z) for dice, a, z, own in passages(before, hits[inside[key]], t)]
+        return [(x[3], -x[1], x[2], x[4] - x[2] + 2) for x in disjoint(sorted(ranked), lambda x: (x[2], x[4]))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow(ddl)
         for batch in batches:
-            ids, texts = batch.column("id").to_pylist(), [normal(t) for t in as_bytes(batch.column("text"))]
+            ids = batch.column("id").to_pylist()
             rows = []
-            begin = 0
-            while begin < len(texts):
-                end, size = begin, 0
-                while end < len(texts) and (end == begin or size < 2 << 20):
-                    size += len(texts[end])
-                    end += 1
-                block = Block(texts[begin:end])
-                grams, first, doc = block.windows(block.word_hash(), 2)
+            for part, block in blocks(batch, "text", change=normal):
+                grams, _, doc = block.windows(block.word_hash(), 2)
                 at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == grams)
-                owner = doc[hit]
-                for d in np.unique(owner).tolist():
-                    mine = hit[owner == d] if len(hit) < 1000 else hit[np.searchsorted(owner, d) : np.searchsorted(owner, d, "right")]
-                    lo, hi = np.searchsorted(doc, d), np.searchsorted(doc, d, "right")
-                    for name, s, least, inside in zip(names, sets, sizes, member, strict=True):
-                        own = mine[inside[at[mine]]]
-                        if len(own) >= least and len(np.unique(grams[own])) >= least:
-                            for dice, a, z in passages(grams[lo:hi], own - lo, s, threshold):
-                                rows.append((ids[begin + d], name, dice, a, z - a + 2))
-                begin = end
+                bounds = np.searchsorted(doc, np.arange(len(block.texts) + 1))
+                cuts = np.searchsorted(hit, bounds)
+                for d in np.flatnonzero(np.diff(cuts)).tolist():
+                    mine, lo = hit[cuts[d] : cuts[d + 1]], bounds[d]
+                    rows += [(ids[part.start + d], *x) for x in of_text(grams[lo : bounds[d + 1]], mine - lo, at[mine])]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
