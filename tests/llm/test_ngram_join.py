@@ -85,6 +85,19 @@ def test_odd_inputs(spark):
     assert sorted((r.doc_id or -1, r.component_id) for r in ngram_join.class_links(df).collect()) == [(-1, None), (5, 5), (5, 5), (7, 5)]
 
 
+def test_hubs_and_long_lists_in_many_tasks(spark, monkeypatch):
+    """Nodes with many neighbours are told by broadcast, very long lists are salted; the rows are the same."""
+    from textloom.llm import components as c
+
+    monkeypatch.setattr(c, "HUB", 5)
+    monkeypatch.setattr(c, "MOST_HUBS", 10)
+    rng = random.Random(2)
+    edges = [(0, j) for j in range(1, 200)] + [(199, j) for j in range(300, 500)] + [(j, j + 1) for j in range(600, 640)]
+    df = spark.createDataFrame([e if rng.random() < 0.5 else e[::-1] for e in edges], "a long, b long").repartition(8)
+    got = {r.node: r.component for r in components(df).collect()}
+    assert got == {**{j: 0 for j in [*range(200), *range(300, 500)]}, **{j: 600 for j in range(600, 641)}}
+
+
 def test_components_of_chains(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 300) if i % 50 != 49] + [(1000, 1000 + j) for j in range(1, 40)]

@@ -87,3 +87,31 @@ def test_run_and_odd_tables(spark, sf_dir, stages, tmp_path):
     none = folder(spark, tmp_path / "none", documents=odd_documents(spark).limit(0), labels=labels, benchmark=bench)
     assert cp.run(spark, none).count() == 0
     assert queries.tokenizer_path()
+
+
+def test_clashes_nulls_and_repeats(spark, sf_dir, tmp_path):
+    """Columns called like those a stage adds, null ids and texts, repeated rows, ties: every stage gives its columns back."""
+    same = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, same), (1, same), (1, "another text of this id stands here"), (2, same), (None, same), (None, None), (3, None), (4, ""), (5, "short one"), (5, "short one")]
+    names = ["__quality", "__kept", "__n_words", "__n_removed", "__gone", "__times", "score", "block", "rest", "component_id", "__textloom_leaks_0", "__textloom_stats"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *(f"{n}{k}" for n in names)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    folder(spark, tmp_path, labels=labels, benchmark=spark.createDataFrame([(1, "short one"), (2, None)], "item_id long, text string"))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda r: repr(tuple(r))
+    got = {}
+    for name, stage in cp.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.dtypes == docs.dtypes, name
+        got[name] = sorted(after.collect(), key=key)
+    texts = lambda name: sorted([(r.doc_id or -1, r.text) for r in got[name]], key=repr)
+    count = lambda pairs: sorted([(i or -1, t) for i, t in pairs], key=repr)
+    # near duplicates: of the repeated rows one each; 2 is a copy of another text of 1's rows than the one compared
+    assert texts("ngram_jaccard_join") == count([(1, same), (1, rows[2][1]), (2, same), (None, same), (None, None), (3, None), (4, ""), (5, "short one")])
+    assert texts("substring_dedup") == count([(1, same), (1, rows[2][1]), (None, None), (3, None), (4, ""), (5, "short one"), (5, "short one")])
+    assert texts("benchmark_decontamination") == count([r for r in rows if r[1] != "short one"])
+    for name in ("quality_classifier", "benchmark_decontamination"):
+        assert set(map(key, got[name])) <= set(map(key, docs.collect()))
+    packed = cp.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.count() == len(rows)

@@ -45,8 +45,11 @@ def test_odd_inputs(spark):
     labels = spark.createDataFrame([(i, i % 2, "x") for i in range(12)] * 2 + [(None, 1, "x"), (3, None, "x")], "doc_id long, quality int, text string")
     docs = odd_documents(spark)
     model = rule_classifier.train(docs, labels)
-    got = rule_classifier.with_score(docs.drop("score"), model).collect()
+    got = rule_classifier.with_score(docs, model).collect()
+    assert {r.score_input for r in got} == {"z"}
     assert len(got) == len(odd_rows()) and all(0 <= r.score <= 1 for r in got)
+    again = rule_classifier.train(docs.unionByName(docs).unionByName(docs.withColumn("text", F.lit("zzz"))), labels)
+    assert again == model  # of rows that repeat an id the first text counts, however many there are
     empty = rule_classifier.train(docs, labels.limit(0))
     assert empty.rules == () and empty.bias == 0
-    assert rule_classifier.with_score(no_documents(spark).drop("score"), empty).count() == 0
+    assert rule_classifier.with_score(no_documents(spark), empty).count() == 0

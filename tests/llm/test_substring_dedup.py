@@ -87,3 +87,13 @@ def test_every_period(spark, length):
     rows = [(p, " ".join([f"p{p}w{j}" for j in range(p)] * 50)) for p in range(1, 2 * length + 1)]
     got = {r.doc_id: r["__kept"] for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), length).collect()}
     assert got == {i: " ".join(k) for (i, _), k in zip(rows, brute(rows, length))}
+
+
+def test_clashing_columns_and_rows_without_id(spark):
+    same = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(None, same, 1, 2, 3), (None, "y " + same, 1, 2, 3), (None, same, 1, 2, 3), (9, same, 1, 2, 3)], "doc_id long, text string, __kept int, __n_words int, __n_removed int")
+    got = substring_dedup.dedup(df)
+    assert got.columns == ["doc_id", "text", "__kept_input", "__n_words_input", "__n_removed_input", "__n_words", "__n_removed", "__kept"]
+    assert sorted((r.doc_id or -1, r["__n_removed"], r["__n_words"]) for r in got.collect()) == [(-1, 40, 40), (-1, 40, 40), (-1, 40, 41), (9, 0, 40)]
+    spans = substring_dedup.repeated_spans(df).collect()
+    assert len(spans) == 3 and {s.source_id for s in spans} <= {9, None}

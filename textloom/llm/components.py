@@ -36,6 +36,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 EDGES_PER_TASK = 200_000
+HUB, MOST_HUBS = 1000, 5000  # more neighbours than the first, and than edges over the second, so at most 10,000 nodes
 
 
 def _tasks(n: int) -> int:
@@ -52,13 +53,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a != b")
     edges = checkpointed(map_arrow(edges, _forest, "a long, b long").distinct())
-    tasks = _tasks(edges.count())
+    n = edges.count()
+    tasks = _tasks(n)
     mark = None
     while True:
         # large star: every larger neighbour to the least of the neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("k"))
+        # nodes with so many neighbours that there are few such nodes are told them where the edges are
+        hub = low.where(F.col("k") > max(HUB, n // MOST_HUBS)).select("a", F.col("m").alias("hub"))
+        told = both.where("b > a").join(F.broadcast(hub), "a", "left")
+        large = told.where("hub IS NULL").join(low, "a").select(F.col("m").alias("a"), "b").unionByName(told.where("hub IS NOT NULL").select(F.col("hub").alias("a"), "b")).distinct()
         # small star: every smaller neighbour, and the node, to the least
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(low, "b")
@@ -67,6 +72,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum("a")).first()
         if now == mark or not now[0]:
             break
-        mark, tasks = now, _tasks(now[0])
+        mark, n, tasks = now, now[0], _tasks(now[0])
     stars = edges.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("node"), "component")
     return stars.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .kernel import Block, as_bytes, mix
 from .license_scan import normal
-from .runtime import ragged, ship, trim
+from .runtime import free_name, ragged, ship, trim
 
 BLOCK_BYTES = 8 << 20
 SEED_WORDS = 3
@@ -286,11 +286,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_c
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that leak a test item; all columns as they are."""
+    """``docs`` without the documents that leak a test item; all columns, of any name, as they are.
+
+    Null and empty texts leak nothing; null ids and repeated rows are judged each by
+    their text.
+    """
     ship(docs.sparkSession)
     columns = docs.columns
     out = docs
     for k, block in enumerate(benchmark_blocks(benchmark)):
-        items = items_of(block)
-        out = out.withColumn(f"__textloom_leaks_{k}", leaks_column(F.col(text_col), items, share)).where(F.size(f"__textloom_leaks_{k}") == 0)
+        name = free_name(out, f"__textloom_leaks_{k}")
+        out = out.withColumn(name, leaks_column(F.col(text_col), items_of(block), share)).where(F.size(name) == 0)
     return out.select(*columns)

@@ -31,9 +31,8 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import Block, as_bytes, mix, sequence_hash
-from .runtime import checkpointed, map_arrow, n_parts, part_of, ragged, ship, trim
+from .runtime import block_of, checkpointed, layout, map_arrow, pack_counts, part_of, ragged, ship, trim, unpack_counts
 
-BLOCKS_PER_PART = 2
 SHORT_LIST = 32
 HOT_CLASS = 12  # a shingle of some 2**12 documents or more goes past the parts as rows
 MAX_BOUNDARY = 24
@@ -162,9 +161,9 @@ def class_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
     """
     spark = docs.sparkSession
     ship(spark)
-    parts = n_parts(spark)
+    blocks, parts = layout(docs)
     rows = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts * BLOCKS_PER_PART)).alias("block"),
+        block_of(F.col(id_col), F.col(text_col), blocks).alias("block"),
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
     )
 
@@ -172,7 +171,7 @@ def class_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
         trim()
         s = _Sets(table, k)
         values, counts = np.unique(s.values, return_counts=True)
-        cells = {p: [values[c].astype("<u4").tobytes(), np.minimum(counts[c], 0xFFFFFFFF).astype("<u4").tobytes(), b""] for p, c in _cut(values, parts)}
+        cells = {p: [values[c].astype("<u4").tobytes(), pack_counts(counts[c]), b""] for p, c in _cut(values, parts)}
         h1, h2 = s.prints()
         lead = np.flatnonzero(s.lead())
         rec = np.zeros(len(lead), SETS)
@@ -196,13 +195,14 @@ def class_links(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
         tokens = np.frombuffer(b"".join(raw), "<u4")
         if len(set(part)) > 1:
             tokens = tokens.astype(np.uint64) | (np.repeat(np.array(part), sizes).astype(np.uint64) << np.uint64(32))
-        counts = np.frombuffer(b"".join(asked.column("counts").to_pylist()), "<u4")
+        counts = [unpack_counts(x, n) for x, n in zip(asked.column("counts").to_pylist(), sizes.tolist(), strict=True) if n]
+        counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         code, total = np.zeros(0, np.uint8), np.zeros(0)
         if len(tokens):
             by = np.argsort(tokens, kind="stable")
             fresh = np.ones(len(tokens), bool)
             fresh[1:] = tokens[by][1:] != tokens[by][:-1]
-            total = np.add.reduceat(counts[by].astype(np.int64), np.flatnonzero(fresh))
+            total = np.add.reduceat(counts[by], np.flatnonzero(fresh))
             classes = np.minimum(np.ceil(4 * np.log2(total)), 255).astype(np.uint8)  # 0: one document alone
             code = np.empty(len(tokens), np.uint8)
             code[by] = classes[np.cumsum(fresh) - 1]
@@ -438,13 +438,23 @@ def _can_link(percent: int, x: Callable[[str], Column], y: Callable[[str], Colum
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - x("pos"), m - y("pos")) >= least) & (apart <= n + m - 2 * least)
 
 
+SALTS = 16  # tasks that one very long list is dealt to
+
+
+def _to_lists(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """Members of long lists with their list's one row; a list is dealt by its members to ``SALTS`` tasks."""
+    own = members.withColumn("__salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    each = lists.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return own.join(each, ["token", "__salt"]).drop("__salt")
+
+
 def _link(found: DataFrame, percent: int, id_col: str) -> DataFrame:
     sets = found.where("kind = 'set'").select("a", "data")
     # a bitmap as longs: eight bytes each, the same order on either side
     words = [F.conv(F.hex(F.substring("data", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"m{i}") for i in range(MAPS)]
     long = found.where("kind = 'long'").select(F.col("b").alias("token"), F.col("a").alias("node"), "n", "pos", *words)
     centre = long.groupBy("token").agg(F.min(F.struct("pos", "node", "n", *(f"m{i}" for i in range(MAPS)))).alias("c"))
-    star = long.join(centre, "token").where(F.col("node") != F.col("c.node"))
+    star = _to_lists(long, centre).where(F.col("node") != F.col("c.node"))
     star = star.where(_can_link(percent, F.col, lambda c: F.col(f"c.{c}")))
     ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     first = found.where("kind = 'pair'").select("a", "b").unionByName(star.select(*ends(F.col("node"), F.col("c.node")))).distinct()
@@ -454,7 +464,7 @@ def _link(found: DataFrame, percent: int, id_col: str) -> DataFrame:
     named = long.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", F.col("top.component").alias("main"))
-    named = checkpointed(named.join(main, "token"))
+    named = checkpointed(_to_lists(named, main))
     x, y = named.where("component != main").alias("x"), named.alias("y")
     rest = x.join(y, F.col("x.token") == F.col("y.token")).where(F.col("x.component") != F.col("y.component"))
     rest = rest.where(_can_link(percent, lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ship
+from .runtime import aside, free_name, ship
 from .stats import BASE, MORE, stats_struct
 
 #: SQL over the statistics; every one is defined for an empty text.
@@ -180,20 +180,30 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     """Fit on at most ``sample`` labelled documents, drawn by a hash of the id.
 
     Labels that are null or whose id is null are left out; of repeated labels the
-    least counts.  The sample is broadcast (its size is bounded); the statistics
-    of its documents come back to the driver, ``sample`` rows of numbers.
+    least counts, of rows that repeat an id the first text in order.  The sample is
+    broadcast (its size is bounded); the statistics of its documents come back to the
+    driver, ``sample`` rows of numbers.  Null and empty texts count with the
+    statistics of an empty one, texts of any length whole; without labelled documents,
+    or with labels of one kind, the score is one smoothed share for all.
     """
     spark = docs.sparkSession
     ship(spark)
     chosen = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IS NOT NULL")
     chosen = chosen.groupBy("__id").agg(F.min("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
-    got = rows.select(stats_struct(F.col("__text")).alias("s"), "__y", "__id").select("__id", "__y", *(_feature(f, "s").alias(f) for f in FEATURES)).limit(2 * sample).toPandas().sort_values(["__id", *FEATURES])
+    rows = rows.groupBy("__id", "__y").agg(F.min(F.coalesce("__text", F.lit(""))).alias("__text"))  # one row for each label
+    got = rows.select(stats_struct(F.col("__text")).alias("s"), "__y", "__id").select("__id", "__y", *(_feature(f, "s").alias(f) for f in FEATURES)).toPandas().sort_values("__id")
     return fit_rules({f: got[f].to_numpy(np.float64) for f in FEATURES}, got["__y"].to_numpy())
 
 
 def with_score(docs: DataFrame, model: RuleModel, name: str = "score", text_col: str = "text") -> DataFrame:
-    """``docs`` and the score of each row; a null text counts as empty."""
+    """``docs`` and the score of each row.
+
+    A null text counts as empty; null ids, repeated rows and ties of the score are
+    kept as they are; a column of the score's name is moved aside to
+    ``<name>_input``; an empty table stays empty; a text of any length is scored whole.
+    """
     ship(docs.sparkSession)
-    s = "__textloom_stats"
+    docs = aside(docs, name)
+    s = free_name(docs, "__textloom_stats")
     return docs.withColumn(s, stats_struct(F.col(text_col))).withColumn(name, model.column(s)).drop(s)

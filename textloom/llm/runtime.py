@@ -102,6 +102,27 @@ def checkpointed(df: DataFrame, files: int | None = None) -> DataFrame:
     return (df.coalesce(files) if files else df).checkpoint()
 
 
+def aside(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with columns of these names, which an operator will add, moved aside to ``<name>_input``."""
+    taken = {c.lower() for c in df.columns}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new = f"{c}_input"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            df = df.withColumnRenamed(c, new)
+    return df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def arrow(schema: str) -> pa.Schema:
     """Arrow schema of a short DDL string such as ``"doc_id long, score double"``."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}

@@ -18,7 +18,8 @@ and read again from there.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
@@ -27,17 +28,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import Block, as_bytes, window_hash
-from .runtime import map_arrow, n_parts, part_of, ship, trim
+from .runtime import aside, block_of, layout, map_arrow, part_of, ship, trim
 
 LENGTH = 20
-BLOCKS_PER_PART = 2
-_LAST = np.iinfo(np.int64).max
+_NO_ID = 1 << 62  # from here on coordinates stand for rows without an id
 
 EDGE = np.dtype([("node", "<u8"), ("label", "<u4"), ("id", "<i8"), ("start", "<u4"), ("doc", "<u4")])
 REPLY = np.dtype([("doc", "<u4"), ("start", "<u4"), ("source", "<i8"), ("at", "<u4"), ("branch", "u1")])
 SPAN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("n", "<u4"), ("source", "<i8"), ("at", "<u4")])
 
 
+def _coordinates(ids: list[int | None], texts: list[bytes]) -> tuple[list[int], list[int]]:
+    """Order of a block's rows, and in that order what stands for each id: a row without one follows all others, by a fingerprint of its text."""
+    at = [_NO_ID + (int.from_bytes(blake2b(t, digest_size=8).digest(), "little") >> 2) if i is None else i for i, t in zip(ids, texts, strict=True)]
+    order = sorted(range(len(ids)), key=lambda i: (at[i], texts[i]))
+    return order, [at[i] for i in order]
+
+
 def least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` consecutive values."""
     have, out = 1, values
@@ -53,8 +60,8 @@ class _Windows:
 
     def __init__(self, table: pa.Table, length: int):
         ids, texts = table.column("id").to_pylist(), as_bytes(table.column("text"))
-        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
-        self.ids = np.array([_LAST if ids[i] is None else ids[i] for i in self.order], np.int64)
+        self.order, at = _coordinates(ids, texts)
+        self.ids = np.array(at, np.int64)
         self.block = Block([texts[i] for i in self.order])
         self.words = self.block.word_hash()
         _, self.begin, self.doc = self.block.windows(self.words, length)
@@ -108,10 +115,10 @@ def _paths(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[Da
     """Documents in blocks, and per block the packed paths that repeat something earlier."""
     spark = docs.sparkSession
     ship(spark)
-    parts = n_parts(spark)
+    blocks, parts = layout(docs)
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     rows = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts * BLOCKS_PER_PART)).alias("block"),
+        block_of(F.col(id_col), F.col(text_col), blocks).alias("block"),
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
         F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest") if rest else F.lit(None).cast("struct<none:int>").alias("rest"),
     )
@@ -215,10 +222,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     rows, replies = _paths(docs, length, id_col, text_col)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = sorted(left.column("id").to_pylist(), key=lambda i: (i is None, i or 0))
+        ids = left.column("id").to_pylist()
+        ids = [ids[i] for i in _coordinates(ids, as_bytes(left.column("text")))[0]]
         s = _spans(right)
         s = s[np.lexsort((s["start"], s["doc"]))]
-        source = [None if x == _LAST else x for x in s["source"].tolist()]
+        source = [None if x >= _NO_ID else x for x in s["source"].tolist()]
         return pa.table(
             [pa.array([ids[d] for d in s["doc"].tolist()], pa.int64()), pa.array(s["start"].astype(np.int64)), pa.array(s["n"].astype(np.int64) + length - 1), pa.array(source, pa.int64()), pa.array(s["at"].astype(np.int64))],
             names=[id_col, "first_word", "n_words", "source_id", "source_word"],
@@ -227,21 +235,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, f"{id_col} long, first_word long, n_words long, source_id long, source_word long")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` and, for each row, ``__n_words``, ``__n_removed``, ``__kept`` (the words left, one space between).
+NAMES = ("__n_words", "__n_removed", "__kept")
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", names: Sequence[str] = NAMES) -> DataFrame:
+    """``docs`` and, for each row, how many words it has, how many go, and the words left, one space between, under ``names``.
 
     A word goes if a window of ``length`` words over it also starts earlier: at a
-    smaller id, or earlier in the same document.  A null id counts as the largest;
-    rows that repeat an id count as following each other in order of their text.
-    A null or empty text has no words.  Other columns are carried along; an empty
-    table gives no rows.
+    smaller id, or earlier in the same document.  Rows without an id follow all
+    others, in order of a fingerprint of their text (ids of 2**62 and more are not told
+    from them); rows that repeat an id follow each other in order of their text.
+    A null or empty text has no words; a text of any length is taken whole.  Other
+    columns are carried along, those called like one of ``names`` as ``<name>_input``;
+    an empty table gives no rows.
     """
+    docs = aside(docs, *names)
     rows, replies = _paths(docs, length, id_col, text_col)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         trim()
         ids, texts = left.column("id").to_pylist(), as_bytes(left.column("text"))
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+        order, _ = _coordinates(ids, texts)
         spans = _spans(right)
         spans = spans[np.argsort(spans["doc"], kind="stable")]
         bounds = np.searchsorted(spans["doc"], np.arange(len(order) + 1))
@@ -266,4 +280,4 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     ddl = f"id long, text string, rest {rows.schema['rest'].dataType.simpleString()}, __n_words long, __n_removed long, __kept string"
     done = rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, ddl)
     back = [F.col("id").alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
-    return done.select(*back, "__n_words", "__n_removed", "__kept")
+    return done.select(*back, *(F.col(old).alias(new) for old, new in zip(NAMES, names, strict=True)))

@@ -113,7 +113,7 @@ def judge(
         tree = tree.join(fan.where("__var"), ["host", "__at"], "left")
         step = F.when(F.col("__var") & (F.col("__name") != "") & ~F.col("__name").startswith("{"), "{*}").otherwise(F.col("__name"))
         tree = tree.withColumn("__at", F.when(F.col("__name") == "", F.col("__at")).otherwise(F.concat("__at", F.lit("/"), step))).drop("__var", "__name")
-    rest = F.array_join(F.slice("__segs", depth + 1, 1_000_000), "/")
+    rest = F.array_join(F.slice("__segs", F.lit(depth + 1), F.greatest(F.size("__segs"), F.lit(1))), "/")
     tree = tree.withColumn("template", F.concat(F.when(F.col("__at") == "", "/").otherwise(F.col("__at")), F.when(rest != "", F.concat(F.lit("/"), rest)).otherwise("")))
     tree = checkpointed(tree.select("host", "__shape", "labelled", "blocked", "template"))
 
