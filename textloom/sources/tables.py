@@ -51,10 +51,10 @@ def seed_urls(spark: SparkSession, path: str) -> DataFrame:
 def robots_rules(lines: DataFrame, host: str = "host", number: str = "line_no", text: str = "value") -> DataFrame:
     """``host, prefix`` of the Disallow lines in the block for every agent; one file's lines are one partition."""
     low = F.lower(F.trim(text))
-    agent = F.when(low.startswith("user-agent:"), F.trim(F.substring(low, 12, 1000)))
+    agent = F.when(low.startswith("user-agent:"), F.trim(F.substring(low, F.lit(12), F.length(low))))
     inside = F.last(agent, ignorenulls=True).over(Window.partitionBy(host).orderBy(number))
     rules = lines.withColumn("__agent", inside).where((F.col("__agent") == "*") & low.startswith("disallow:"))
-    return rules.select(host, F.trim(F.substring(F.trim(text), 10, 1000)).alias("prefix")).where("prefix != ''").distinct()
+    return rules.select(host, F.trim(F.substring(F.trim(text), F.lit(10), F.length(text))).alias("prefix")).where("prefix != ''").distinct()
 
 
 def allowed_by_robots(urls: DataFrame, rules: DataFrame, url: str = "url", host: Column | None = None) -> DataFrame:
