@@ -19,20 +19,26 @@ def tokens(text: Column) -> Column:
 def with_parts(words: Column) -> Column:
     """Add the parts of dotted tokens and paths after them.
 
-    A part counts only where the sequence does not hold it before.
+    A part counts only where the sequence does not hold it before: sorted by term and
+    place, the first of each term is known by its neighbour, so the cost is that of
+    two sorts of a text's words.
     """
     dotted = lambda t: F.when(t.contains("."), F.split(t, r"\.")).otherwise(F.array().cast("array<string>"))
     slashed = lambda t: F.when(t.rlike(r"[+\-*/=]"), F.split(t, r"[+\-*/=]")).otherwise(F.array().cast("array<string>"))
     pair = lambda s, p: F.struct(s.alias("s"), F.lit(p).alias("p"))
+    text = "array<string>"
     spread = F.flatten(F.transform(words, lambda t: F.concat(F.array(pair(t, False)), F.transform(F.filter(F.concat(dotted(t), slashed(t)), lambda x: x != ""), lambda x: pair(x, True)))))
-    kept = F.filter(spread, lambda x, i: ~x["p"] | (F.array_position(F.transform(spread, lambda y: y["s"]), x["s"]) == i + 1))
-    return F.when(F.exists(words, lambda t: t.rlike(r"[.+\-*/=]")), F.transform(kept, lambda x: x["s"])).otherwise(words)
+    by_term = F.sort_array(F.transform(spread, lambda x, i: F.struct(x["s"].alias("s"), i.alias("i"), x["p"].alias("p"))))
+    before = F.concat(F.array(F.lit(None)).cast(text), F.transform(by_term, lambda x: x["s"]))
+    marked = F.zip_with(by_term, F.slice(before, F.lit(1), F.size(by_term)), lambda x, y: F.struct(x["i"].alias("i"), x["s"].alias("s"), (~x["p"] | ~y.eqNullSafe(x["s"])).alias("keep")))
+    in_order = F.filter(F.sort_array(marked), lambda x: x["keep"])
+    return F.when(F.exists(words, lambda t: t.rlike(r"[.+\-*/=]")), F.transform(in_order, lambda x: x["s"])).otherwise(words)
 
 
 def without_stop_words(words: Column, stop: Sequence[str], min_length: int = 2) -> Column:
     """Drop listed words and those shorter than ``min_length``."""
-    listed = F.array(*(F.lit(w) for w in stop)) if stop else F.array().cast("array<string>")
-    return F.filter(words, lambda w: (F.length(w) >= min_length) & ~F.array_contains(listed, w))
+    listed = sorted(set(stop))
+    return F.filter(words, lambda w: (F.length(w) >= min_length) & ~w.isin(*listed) if listed else F.length(w) >= min_length)
 
 
 def clean_characters(text: Column) -> Column:
