@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,13 +99,21 @@ def porter(word: str) -> str:
     return word
 
 
+@lru_cache(1_000_000)
+def remembered(word: str) -> str:
+    return porter(word)
+
+
 def stem_terms(tokens: DataFrame, column: str = "term") -> DataFrame:
-    """Replace a term by its stem; each distinct term is stemmed once."""
+    """Replace a term by its stem, where the rows are: no exchange, so no task that the commonest word fills.
+
+    A worker stems each distinct term of a batch once and remembers the last million.
+    """
     ship(tokens.sparkSession)
 
     @F.pandas_udf(T.StringType())
     def stem(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: None if w is None else porter(w))
+        codes, distinct = pd.factorize(words)
+        return pd.Series(np.array([*map(remembered, distinct), None], object)[codes])
 
-    forms = tokens.select(column).where(F.col(column).isNotNull()).distinct().withColumn("__stem", stem(column))
-    return tokens.join(forms, column, "left").withColumn(column, F.col("__stem")).drop("__stem").select(*tokens.columns)
+    return tokens.withColumn(column, stem(column))

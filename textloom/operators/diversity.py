@@ -82,10 +82,11 @@ def rerank(rows: list[dict], terms: Sequence[str]) -> list[int]:
 
 
 def diversify(results: DataFrame, docs: DataFrame, terms: Sequence[str], k: int = 50) -> DataFrame:
-    """``doc_id, score, position`` of the best ``k`` results in diverse order.
+    """``doc_id, score, position`` of all results: the best ``k`` in diverse order, the others after them.
 
     ``results`` has doc_id and score, and may have query_id; greedy choice is
-    sequential, so one query's top ``k`` is one group and nothing larger ever is.
+    sequential, so one query's top ``k`` is one group and nothing larger ever is.  Results
+    beyond it have no position: they follow in order of score, then id.
     """
     from pyspark.sql import Window
 
@@ -104,4 +105,8 @@ def diversify(results: DataFrame, docs: DataFrame, terms: Sequence[str], k: int
         out["position"] = range(1, len(out) + 1)
         return out
 
-    return rows.groupBy(by).applyInPandas(one, f"{by} {dict(rows.dtypes)[by]}, doc_id long, score double, position int")
+    first = rows.groupBy(by).applyInPandas(one, f"{by} {dict(rows.dtypes)[by]}, doc_id long, score double, position int")
+    # what is left is known by the least of the best, one row a query, so nothing is ranked whole
+    last = top.groupBy(by).agg(F.max_by(F.struct("score", "doc_id"), "__n").alias("__last"))
+    rest = keyed.join(F.broadcast(last), by).where((F.col("score") < F.col("__last.score")) | ((F.col("score") == F.col("__last.score")) & (F.col("doc_id") > F.col("__last.doc_id"))))
+    return first.unionByName(rest.select(by, F.col("doc_id").cast("long").alias("doc_id"), F.col("score").cast("double").alias("score"), F.lit(None).cast("int").alias("position")))

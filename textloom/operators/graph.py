@@ -11,10 +11,12 @@ from ..functions.url import normalize_url, resolve_url, short_url
 from ..shipping import ship
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage through ``spark.checkpoint.dir``; a folder of our own only where that is unset and all is one process."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
     return df.checkpoint()
 
@@ -62,12 +64,12 @@ def page_rank(nodes: DataFrame, edges: DataFrame, scaled: bool = True, iteration
     it is a constant 1/N and the number of iterations is fixed.
     """
     spark = nodes.sparkSession
-    nodes = _cut(nodes.select(F.col("id").cast("long")).distinct())
+    nodes = cut(nodes.select(F.col("id").cast("long")).distinct())
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    weights = _cut(edges.join(degree, "src").select("src", "dst", (F.lit(damping) / F.col("out")).alias("w")))
+    weights = cut(edges.join(degree, "src").select("src", "dst", (F.lit(damping) / F.col("out")).alias("w")))
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     length = (1.0 / n) ** 0.5
     del spark
@@ -81,7 +83,7 @@ def page_rank(nodes: DataFrame, edges: DataFrame, scaled: bool = True, iteration
         ranks = base.select("id", (F.coalesce("in", F.lit(0.0)) + teleport).alias("rank"))
         check = scaled and tolerance is not None
         if check or step % cut_every == 0:
-            ranks = _cut(ranks)
+            ranks = cut(ranks)
         if check:
             new = float(ranks.agg(F.sqrt(F.sum(F.col("rank") * F.col("rank")))).first()[0])
             if abs(new - length) <= tolerance:
@@ -95,12 +97,12 @@ def expand_frontier(seeds: DataFrame, links: DataFrame, limit: int = 6000, depth
 
     A level that would pass the limit is cut in order of url.
     """
-    seen = _cut(seeds.select("url").distinct().orderBy("url").limit(limit).withColumn("level", F.lit(0)))
+    seen = cut(seeds.select("url").distinct().orderBy("url").limit(limit).withColumn("level", F.lit(0)))
     n = seen.count()
     for level in range(1, depth + 1):
         front = seen.where(F.col("level") == level - 1)
         new = links.join(front, links["parent_url"] == front["url"], "left_semi").select(F.col("child_url").alias("url")).distinct().join(seen, "url", "left_anti")
-        seen = _cut(seen.unionByName(new.orderBy("url").limit(limit - n).withColumn("level", F.lit(level))))
+        seen = cut(seen.unionByName(new.orderBy("url").limit(limit - n).withColumn("level", F.lit(level))))
         m = seen.count()
         if m == n or m >= limit:
             break

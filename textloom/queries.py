@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from .functions import text as fx
 from .functions.html import html_extract
 from .functions.snippets import snippet_column
-from .functions.stop_words import FALLBACK
+from .functions.stem import porter
+from .functions.stop_words import FALLBACK, QUERY
 from .functions.url import domain, normalize_url, path_similarity, short_url
+from . import oracles as o
 from .operators import boolean, diversity, graph, index, lookup, phrase, relevance, store
 from .plans.engine import SearchEngine
+from .plans.parser import ParsedQuery, normalize_operators, parse_query
 from .shipping import ship
 from .sources.tables import html_documents, table, text_documents
 from .streaming.incremental import event_counts as windowed_counts
@@ -58,12 +61,18 @@ def _post(spark: SparkSession, sf: str) -> DataFrame:
     return index.postings(_tokens(spark, sf), _lengths(spark, sf))
 
 
+def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, term statistics and lengths, the postings stored first: what reads them twice does not tokenise twice."""
+    post = graph.cut(_post(spark, sf))
+    return post, index.term_stats(post, index.count_documents(_docs(spark, sf))), _lengths(spark, sf)
+
+
 def _stats(spark: SparkSession, sf: str) -> DataFrame:
     return index.term_stats(_post(spark, sf), index.count_documents(_docs(spark, sf)))
 
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return index.metrics(_post(spark, sf), _stats(spark, sf), _lengths(spark, sf))
+    return index.metrics(*_stored(spark, sf))
 
 
 def _r(df: DataFrame, *columns: str) -> DataFrame:
@@ -94,12 +103,12 @@ def tokenize_counts(spark: SparkSession, sf: str) -> DataFrame:
     return index.text_tokens(_docs(spark, sf)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_register()
+@_register(f"WITH {o.PARTS} SELECT term, count(*) AS n FROM kept GROUP BY term")
 def tokenize_parts(spark: SparkSession, sf: str) -> DataFrame:
     return index.text_tokens(_docs(spark, sf), parts=True).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_register()
+@_register(f"WITH {_TOK}, {o.stems('tok')} SELECT stem AS term, count(*) AS total_frequency FROM tok JOIN stems ON tok.term = stems.term GROUP BY stem")
 def stemmed_totals(spark: SparkSession, sf: str) -> DataFrame:
     return index.term_totals(index.postings(index.text_tokens(_docs(spark, sf), STOP, stem=True)))
 
@@ -188,7 +197,9 @@ def not_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register(f"WITH {_METRICS} SELECT doc_id, round(sum(tf_idf), 6) AS score FROM met WHERE term IN ({_list(TERMS)}) GROUP BY doc_id HAVING count(DISTINCT term) = {len(TERMS)}")
 def all_terms_division(spark: SparkSession, sf: str) -> DataFrame:
-    return _r(boolean.all_terms(_metrics(spark, sf), TERMS), "score")
+    post, stats, lengths = _stored(spark, sf)
+    wanted = F.col("term").isin(*TERMS)  # statistics are whole, but only the query's terms get scores
+    return _r(boolean.all_terms(index.metrics(post.where(wanted), stats.where(wanted), lengths), TERMS), "score")
 
 
 _RARE = ("que", "or", "nosuchterm", "heit")
@@ -235,9 +246,9 @@ def _side(p: str) -> str:
 
 def _boolean(operator: str, sql_operator: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        docs, post = _docs(spark, sf), _post(spark, sf)
+        docs, (post, stats, _) = _docs(spark, sf), _stored(spark, sf)
         got = phrase.combine(docs, post, (LEFT, RIGHT), operator, STOP)
-        return _r(phrase.combined_score(got, docs, post, _stats(spark, sf), (LEFT, RIGHT), STOP), "score")
+        return _r(phrase.combined_score(got, docs, post, stats, (LEFT, RIGHT), STOP), "score")
 
     run.__name__ = f"boolean_phrase_{operator.lower()}"
     # the sum as ordered steps; a missing posting of a known word ends it
@@ -285,7 +296,8 @@ def _live_sql() -> str:
 
 @_register(_live_sql())
 def relevance_live(spark: SparkSession, sf: str) -> DataFrame:
-    return _r(relevance.live(_docs(spark, sf), _post(spark, sf), _stats(spark, sf), TERMS), "score")
+    post, stats, _ = _stored(spark, sf)
+    return _r(relevance.live(_docs(spark, sf), post, stats, TERMS), "score")
 
 
 _NEAR = ("quear", "heit", "wh")
@@ -329,18 +341,45 @@ def weighted_relevance(spark: SparkSession, sf: str) -> DataFrame:
     return _r(relevance.weighted_tfidf(_post(spark, sf), _stats(spark, sf), TERMS), "relevance")
 
 
-@_register()
+def _folded(boost: str) -> str:
+    """The sum of ``weighted_tfidf`` term after term, times ``boost`` after each that a document has."""
+    fold = "0.0"
+    for i in range(len(TERMS)):
+        fold = f"CASE WHEN g{i} IS NULL THEN {fold} ELSE ({fold} + g{i}) * {boost} END"
+    each = ", ".join(f"max(CASE WHEN p.term = '{t}' THEN frequency * 1.0 / n_terms * (ln((1.0 + n_docs) / (1 + df)) + 1) * ln(3) END) AS g{i}" for i, t in enumerate(TERMS))
+    return f"gt AS (SELECT p.doc_id, {each} FROM post p JOIN len l ON p.doc_id = l.doc_id JOIN stats s ON p.term = s.term WHERE p.term IN ({_list(TERMS)}) GROUP BY p.doc_id), fold AS (SELECT doc_id, {fold} AS relevance FROM gt)"
+
+
+@_register(
+    f"WITH {_STATS}, q AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{_P}'), lambda x: length(x) > 1 AND x NOT IN ({_list(STOP)})) AS w FROM documents)), "
+    f"ph AS (SELECT DISTINCT a.doc_id FROM q a JOIN q b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'de' AND b.term = 'la'), "
+    f"{_folded('CASE WHEN doc_id IN (SELECT doc_id FROM ph) THEN 3.0 ELSE 1.0 END')} SELECT doc_id, round(relevance, 6) AS relevance FROM fold"
+)
 def phrase_boosted_relevance(spark: SparkSession, sf: str) -> DataFrame:
     tokens = _tokens(spark, sf)
     return _r(relevance.weighted_tfidf(_post(spark, sf), _stats(spark, sf), TERMS, phrase.positional(tokens, PHRASE.split())), "relevance")
 
 
-@_register()
+@_register(
+    f"WITH {_STATS} SELECT p.doc_id, round(sum(3.0 * frequency * 2.2 / (frequency + 1.2 * (0.25 + 0.75 * n_terms / 500.0)) * (ln((1.0 + n_docs) / (1 + df)) + 1) * CASE WHEN df <= 0.01 * n_docs THEN 1.2 ELSE 1.0 END), 6) AS relevance "
+    f"FROM post p JOIN stats s ON p.term = s.term JOIN len l ON p.doc_id = l.doc_id WHERE p.term IN ({_list(TERMS)}) GROUP BY p.doc_id"
+)
 def fallback_relevance(spark: SparkSession, sf: str) -> DataFrame:
     return _r(relevance.fallback_relevance(_post(spark, sf), _stats(spark, sf), _lengths(spark, sf), TERMS), "relevance")
 
 
-@_register()
+def _boosted(relevance_sql: str) -> str:
+    """CTE ``ub`` of ``url_boosts`` over ``relevance_sql`` (doc_id, relevance), for several terms with a short first one."""
+    host = "replace(regexp_replace(regexp_extract(regexp_replace(lower(url), '^https?://', ''), '^([^/]+|/.*)', 1), '^www\\.', ''), 'www.', '')"
+    query, k = " ".join(TERMS), len(TERMS)
+    return (
+        f"us AS (SELECT doc_id, count(DISTINCT term) AS k FROM post WHERE term IN ({_list(TERMS)}) GROUP BY doc_id), "
+        f"ub AS (SELECT r.doc_id, relevance * CASE WHEN coalesce(k, 0) * 1.0 / {k} > 0.5 THEN 1 + k * 1.0 / {k} ELSE 1 END * CASE WHEN k = {k} THEN 2.5 ELSE 1 END * CASE WHEN contains(lower(url), '{TERMS[0]}') THEN 2 ELSE 1 END "
+        f"* CASE WHEN {host} <> '' AND (contains('{query}', {host}) OR contains({host}, '{query}')) THEN 2 ELSE 1 END AS relevance FROM ({relevance_sql}) r JOIN d ON r.doc_id = d.doc_id LEFT JOIN us ON r.doc_id = us.doc_id)"
+    )
+
+
+@_register(f"WITH {_STATS}, {_DOCS}, {_folded('1')}, {_boosted('SELECT * FROM fold')} SELECT doc_id, round(relevance, 6) AS relevance FROM ub")
 def url_boosted_relevance(spark: SparkSession, sf: str) -> DataFrame:
     post = _post(spark, sf)
     return _r(relevance.url_boosts(relevance.weighted_tfidf(post, _stats(spark, sf), TERMS), _docs(spark, sf), post, TERMS), "relevance")
@@ -396,7 +435,7 @@ def host_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").groupBy(domain(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_register()
+@_register(f"SELECT page_id, {o.normalized('url')} AS url FROM pages")
 def url_normalized(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)
     return table(spark, sf, "pages").select("page_id", normalize_url("url").alias("url"))
@@ -408,18 +447,21 @@ def url_shortened(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", short_url(long).alias("url"))
 
 
-@_register()
+@_register(f"WITH {o.page_terms(STOP)}, {o.stems('ew')} SELECT stem AS term, doc_id, tag, count(*) AS frequency FROM ew JOIN stems ON ew.term = stems.term GROUP BY 1, 2, 3")
 def html_field_postings(spark: SparkSession, sf: str) -> DataFrame:
     return index.field_postings(index.html_tokens(html_documents(table(spark, sf, "pages")), STOP))
 
 
-@_register()
+@_register(
+    f"WITH {o.page_terms(STOP)}, n AS (SELECT doc_id, len(regexp_extract_all(lower(text), '{_P}')) AS n FROM d) SELECT ew.term, ew.doc_id, count(*) AS frequency, max(CASE tag WHEN 'title' THEN 10 WHEN 'h1' THEN 8 WHEN 'h2' THEN 6 WHEN 'h3' THEN 4 ELSE 2 END) AS importance, "
+    "round(CASE WHEN any_value(n) > 0 THEN count(*) * 1.0 / any_value(n) ELSE 0 END, 6) AS tf FROM ew JOIN n ON ew.doc_id = n.doc_id GROUP BY 1, 2"
+)
 def html_importance(spark: SparkSession, sf: str) -> DataFrame:
     pages = html_documents(table(spark, sf, "pages"))
-    return index.postings(index.html_tokens(pages, STOP, stem=False), index.doc_lengths(pages))
+    return _r(index.postings(index.html_tokens(pages, STOP, stem=False), index.doc_lengths(pages)), "tf")
 
 
-@_register()
+@_register(f"WITH {o.PAGES} SELECT doc_id AS page_id, trim(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9\\s.,;:!?''\"()\\[\\]{{}}<>/\\\\@#$%^&*+=_\\-|~`]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM d")
 def clean_html(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)
     x = table(spark, sf, "pages").select("page_id", html_extract("html").alias("x"))
@@ -433,15 +475,21 @@ def links_raw(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select(F.col("doc_id").alias("page_id"), F.explode("hrefs").alias("href")).distinct()
 
 
-@_register()
+@_register(f"WITH {o.LINKS} SELECT parent_url, CASE WHEN length(child_url) > 250 THEN concat(substring(child_url, 1, 185), '___', substring(sha256(child_url), 1, 60)) ELSE child_url END AS child_url FROM links")
 def links_extracted(spark: SparkSession, sf: str) -> DataFrame:
     return graph.extract_links(html_documents(table(spark, sf, "pages")))
 
 
-@_register()
+_MD5_ID = "CAST(concat('0x', substring(md5(child_url), 1, 15)) AS BIGINT)"
+
+
+@_register(f"WITH {o.LINKS}, sd AS (SELECT page_id AS doc_id, url FROM pages UNION ALL SELECT DISTINCT {_MD5_ID}, child_url FROM links) SELECT DISTINCT p.doc_id AS src, c.doc_id AS dst FROM links JOIN sd p ON p.url = parent_url JOIN sd c ON c.url = child_url")
 def stored_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Links between stored documents: the pages, and what they link to under ids made of the urls, as no page of the table links to another."""
     pages = html_documents(table(spark, sf, "pages"))
-    return graph.relations(graph.extract_links(pages), pages)
+    links = graph.extract_links(pages)
+    found = links.select("child_url").distinct().select(F.conv(F.substring(F.md5("child_url"), 1, 15), 16, 10).cast("long").alias("doc_id"), F.col("child_url").alias("url"))
+    return graph.relations(links, pages.select("doc_id", "url").unionByName(found))
 
 
 _EDGES = "o AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS dst FROM o) WHERE dst IS NOT NULL)"
@@ -492,18 +540,40 @@ def pagerank_fixed(spark: SparkSession, sf: str) -> DataFrame:
     return graph.page_rank(_nodes(spark, sf), _edges(spark, sf), False, _STEPS, None).withColumn("rank", F.round("rank", 9))
 
 
-@_register()
+def _ranked(scaled: bool) -> str:
+    """All rounds as a recursion over (round, node); the length of the last vector rides along for the stop rule."""
+    total = "(SELECT sum(rank) FROM r)" if scaled else "1.0"
+    go_on = "AND (SELECT abs(sqrt(sum(rank * rank)) - max(before)) FROM r) > 1e-4" if scaled else ""
+    return (
+        f"WITH RECURSIVE {_EDGES}, c AS (SELECT src, count(*) AS n FROM e GROUP BY src), k AS (SELECT count(*) AS n FROM part), "
+        "r AS (SELECT 0 AS i, p_partkey AS id, CAST(1.0 AS DOUBLE) / k.n AS rank, CAST(-1.0 AS DOUBLE) AS before FROM part, k UNION ALL "
+        f"SELECT (SELECT max(i) FROM r) + 1, p_partkey, coalesce(f.v, 0) + 0.15 / k.n * {total}, (SELECT sqrt(sum(rank * rank)) FROM r) "
+        "FROM part JOIN k ON true LEFT JOIN (SELECT e.dst, sum(0.85 / c.n * r.rank) AS v FROM e JOIN c ON e.src = c.src JOIN r ON r.id = e.src GROUP BY e.dst) f ON f.dst = p_partkey "
+        f"WHERE (SELECT max(i) FROM r) < 100 {go_on}) "
+        "SELECT id, round(rank, 9) AS rank FROM r WHERE i = (SELECT max(i) FROM r)"
+    )
+
+
+@_register(_ranked(True))
 def pagerank_scaled(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.page_rank(_nodes(spark, sf), _edges(spark, sf), True, 100, 1e-4)
+    return graph.page_rank(_nodes(spark, sf), _edges(spark, sf), True, 100, 1e-4).withColumn("rank", F.round("rank", 9))
 
 
-@_register()
+@_register(_ranked(False))
 def pagerank_fixed_full(spark: SparkSession, sf: str) -> DataFrame:
     """The constant teleport for all of the reference's 100 iterations."""
-    return graph.page_rank(_nodes(spark, sf), _edges(spark, sf), False, 100, None)
+    return graph.page_rank(_nodes(spark, sf), _edges(spark, sf), False, 100, None).withColumn("rank", F.round("rank", 9))
 
 
-@_register()
+def _frontier_sql(limit: int, depth: int) -> str:
+    ctes = [f"f0 AS (SELECT url, 0 AS level FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL AND html IS NOT NULL) ORDER BY url LIMIT {limit})"]
+    for i in range(1, depth + 1):
+        new = f"SELECT DISTINCT child_url AS url FROM links WHERE parent_url IN (SELECT url FROM f{i - 1} WHERE level = {i - 1}) AND child_url NOT IN (SELECT url FROM f{i - 1})"
+        ctes.append(f"f{i} AS (SELECT * FROM f{i - 1} UNION ALL SELECT url, {i} FROM (SELECT url, row_number() OVER (ORDER BY url) AS k FROM ({new})) WHERE k <= {limit} - (SELECT count(*) FROM f{i - 1}))")
+    return f"WITH {o.LINKS}, {', '.join(ctes)} SELECT url, level FROM f{depth}"
+
+
+@_register(_frontier_sql(6000, 3))
 def frontier(spark: SparkSession, sf: str) -> DataFrame:
     pages = html_documents(table(spark, sf, "pages"))
     return graph.expand_frontier(pages.select("url"), graph.extract_links(pages), 6000, 3)
@@ -564,7 +634,12 @@ def mmr_rerank(spark: SparkSession, sf: str) -> DataFrame:
     return _r(diversity.diversify(hit, _docs(spark, sf), TERMS, 25), "score")
 
 
-@_register()
+@_register(
+    "WITH p AS (SELECT page_id, regexp_replace(regexp_extract(regexp_replace(url, '^https?://', ''), '^([^/]+|/.*)', 1), '^www\\.', '') AS host, regexp_replace(url, '^[a-z]+://[^/]*', '') AS path FROM pages), "
+    "q AS (SELECT page_id, regexp_replace(regexp_replace(path, '/*$', ''), '\\?.*$', '') AS a, regexp_replace(regexp_replace(coalesce(lag(path) OVER (PARTITION BY host ORDER BY page_id), ''), '/*$', ''), '\\?.*$', '') AS b FROM p), "
+    "s AS (SELECT page_id, a, b, string_split(a, '/') AS x, string_split(b, '/') AS y FROM q) "
+    "SELECT page_id, round(CASE WHEN a = '' OR b = '' THEN 0.0 ELSE len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[i] = y[i])) * 1.0 / greatest(len(x), len(y)) END, 6) AS similarity FROM s"
+)
 def url_path_similarity(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", domain(F.col("url")).alias("host"), F.regexp_replace("url", r"^[a-z]+://[^/]*", "").alias("path"))
     prev = F.lag("path").over(Window.partitionBy("host").orderBy("page_id"))
@@ -578,28 +653,65 @@ def _engine(spark: SparkSession, sf: str) -> SearchEngine:
     return SearchEngine(_docs(spark, sf))
 
 
-@_register()
+def _asked(query: str) -> ParsedQuery:
+    return parse_query(normalize_operators(query))
+
+
+_SHOWN = ("doc_id", "url", "title", "score")
+_TABLES = f"WITH {o.engine(STOP)}"
+_KEYWORD = _asked(" ".join(TERMS)).terms
+_FOUND = (
+    f"{o.relaxed(_KEYWORD)}, hd AS (SELECT * FROM d WHERE doc_id IN (SELECT doc_id FROM hit)), {o.live(_KEYWORD, 'hd')}, {o.near(_KEYWORD, 'hd')}, "
+    "sc AS (SELECT live.doc_id, score + bonus AS score FROM live JOIN near ON live.doc_id = near.doc_id)"
+)
+_SOLD = f"(url IS NULL OR title IS NULL OR {o.shop(relevance.PRODUCT_URLS)})"
+
+
+def _literal(text: str, *, whole: bool = False) -> str:
+    """Documents of a quoted part, found by the stem of its first word that is no stop word."""
+    low = text.lower()
+    own = phrase.stripped(low, QUERY)
+    return f"SELECT doc_id FROM d WHERE doc_id IN ({o.having(porter(own[0] if own else low.split()[0]))}) AND {o.holds(low if whole else ' '.join(own))}"
+
+
+@_register(f"{_TABLES}, {_FOUND} {o.page('sc')}")
 def search_keyword(spark: SparkSession, sf: str) -> DataFrame:
     e = _engine(spark, sf)
-    return e.page(e.analyze(" ".join(TERMS)))
+    return _r(e.page(e.analyze(" ".join(TERMS))).select(*_SHOWN), "score")
 
 
-@_register()
+@_register(f"{_TABLES}, sc AS (SELECT doc_id, {o.phrase_score(PHRASE)} AS score FROM d WHERE doc_id IN ({_literal(PHRASE, whole=True)}) AND NOT {_SOLD}) {o.page('sc')}")
 def search_phrase(spark: SparkSession, sf: str) -> DataFrame:
     e = _engine(spark, sf)
-    return e.page(e.analyze(f'"{PHRASE}"'))
+    return _r(e.page(e.analyze(f'"{PHRASE}"')).select(*_SHOWN), "score")
 
 
-@_register()
+@_register(
+    f"{_TABLES}, got AS ({_literal(LEFT)} INTERSECT {_literal(RIGHT)}), {o.boolean_score([phrase.stripped(p, QUERY) for p in (LEFT, RIGHT)], (LEFT, RIGHT), porter)}, "
+    f"sc AS (SELECT * FROM boolean WHERE doc_id IN (SELECT doc_id FROM d WHERE NOT {_SOLD})) {o.page('sc')}"
+)
 def search_boolean(spark: SparkSession, sf: str) -> DataFrame:
     e = _engine(spark, sf)
-    return e.page(e.analyze(f'"{LEFT}" and "{RIGHT}"'))
+    return _r(e.page(e.analyze(f'"{LEFT}" and "{RIGHT}"')).select(*_SHOWN), "score")
 
 
 @_register()
+def search_page_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The same page as ``search_keyword`` with snippets and descriptions."""
+    e = _engine(spark, sf)
+    return e.page(e.analyze(" ".join(TERMS)))
+
+
+_IN_PAGES = _asked("que les").terms
+
+
+@_register(
+    f"WITH {o.page_engine(STOP)}, {o.relaxed(_IN_PAGES)}, hd AS (SELECT * FROM d WHERE doc_id IN (SELECT doc_id FROM hit)), {o.live(_IN_PAGES, 'hd')}, {o.near(_IN_PAGES, 'hd')}, "
+    f"sc AS (SELECT live.doc_id, score + bonus AS score FROM live JOIN near ON live.doc_id = near.doc_id) {o.page('sc')}"
+)
 def search_pages(spark: SparkSession, sf: str) -> DataFrame:
     e = SearchEngine(html_documents(table(spark, sf, "pages")))
-    return e.page(e.analyze("que les"))
+    return _r(e.page(e.analyze("que les")).select(*_SHOWN), "score")
 
 
 @_register()
@@ -608,7 +720,11 @@ def snippets(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", snippet_column(F.col("text"), TERMS).alias("terms"), snippet_column(F.col("text"), TERMS, PHRASE).alias("phrase"))
 
 
-@_register()
+@_register(
+    f"{_TABLES}, {_FOUND}, t5 AS (SELECT title FROM sc JOIN d ON sc.doc_id = d.doc_id ORDER BY score DESC, sc.doc_id LIMIT 5), w AS (SELECT DISTINCT unnest(string_split_regex(lower(title), '\\s+')) AS w FROM t5), "
+    f"f AS (SELECT w FROM w WHERE length(w) > 3 AND w NOT IN ({o.words(QUERY)}) AND NOT contains('{' '.join(TERMS)}', w)) "
+    f"SELECT s AS suggestion FROM (SELECT concat('{' '.join(TERMS)} ', w) AS s FROM f UNION SELECT concat(w, ' {' '.join(TERMS[1:])}') FROM f) ORDER BY s LIMIT 5"
+)
 def suggestions(spark: SparkSession, sf: str) -> DataFrame:
     e = _engine(spark, sf)
     hit = e.scored(e.analyze(" ".join(TERMS))).join(e.docs, "doc_id")
@@ -665,14 +781,19 @@ def relation_matrix_full(spark: SparkSession, sf: str) -> DataFrame:
     return graph.relations_below(_edges(spark, sf), None)
 
 
-@_register()
+@_register(f"{_TABLES} ({_literal(PHRASE, whole=True)}) EXCEPT ({o.having(porter('quear'))} UNION SELECT doc_id FROM d WHERE {o.holds('quear')})")
 def mixed_boolean(spark: SparkSession, sf: str) -> DataFrame:
     return _engine(spark, sf).mixed_boolean(f'"{PHRASE}" NOT quear')
 
 
-@_register()
+@_register(
+    f"{_TABLES}, {_DENSE}, {_RING}, {_folded('1')}, {_boosted('SELECT * FROM fold')}, "
+    "bx AS (SELECT id AS doc_id, rank, coalesce(relevance, 0) AS relevance, coalesce(density, 0) AS density FROM r3 LEFT JOIN ub ON ub.doc_id = id LEFT JOIN dens ON dens.doc_id = id), "
+    "bt AS (SELECT greatest(max(relevance), 1e-6) AS a, greatest(max(rank), 1e-6) AS b, greatest(max(density), 1e-6) AS c FROM bx), sc AS (SELECT doc_id, 0.75 * relevance / a + 0.10 * rank / b + 0.15 * density / c AS score FROM bx, bt) "
+    "SELECT CAST(row_number() OVER (ORDER BY s.score DESC, s.doc_id) AS INTEGER) AS position, s.doc_id, d.url, d.title, round(s.score, 6) AS score FROM sc s JOIN d ON s.doc_id = d.doc_id ORDER BY s.score DESC, s.doc_id LIMIT 10"
+)
 def ranked_results(spark: SparkSession, sf: str) -> DataFrame:
-    return _engine(spark, sf).ranked_page(list(TERMS), _ranks(spark, sf))
+    return _r(_engine(spark, sf).ranked_page(list(TERMS), _ranks(spark, sf)).drop("snippet"), "score")
 
 
 # --- changes of stored tables -------------------------------------------------------------------
