@@ -57,24 +57,28 @@ def n_files(like: DataFrame) -> int:
     return max(like.sparkSession.sparkContext.defaultParallelism, 1_000_000 if size is None else -(-size // FILE_BYTES))
 
 
-PART_BYTES, BLOCK_BYTES = 64 << 20, 8 << 20
+PART_BYTES, BLOCK_BYTES = 10 << 20, 5 << 20
 
 
 def plan_bytes(df: DataFrame) -> int | None:
-    """Bytes that the plan's scans read, as the optimizer estimates them; None where it cannot tell."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else None
+    """Bytes of the tables that the plan scans, whichever columns it takes; None where one of them is of unknown size."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(x >= 1 << 60 for x in sizes) else sum(sizes)
 
 
 def layout(docs: DataFrame) -> tuple[int, int]:
     """Numbers of document blocks and of parts of a key space, by the bytes of the input.
 
     A block is one unit of a worker's memory and a part another; both grow in
-    number with the table, not in size.  There are at least two blocks and one part
-    for each shuffle partition of the session, so that a small table is spread as well.
+    number with the table, not in size, and do not follow the session's shuffle
+    partitions, or blocks and parts would exchange ever smaller messages.  There are
+    two blocks and one part for each core at least; a table of unknown size has as many
+    as the shuffle partitions ask for.
     """
-    least, size = n_parts(docs.sparkSession), plan_bytes(docs) or 0
-    return max(2 * least, -(-size // BLOCK_BYTES)), max(least, -(-size // PART_BYTES))
+    spark, size = docs.sparkSession, plan_bytes(docs)
+    least = spark.sparkContext.defaultParallelism if size is not None else max(spark.sparkContext.defaultParallelism, n_parts(spark))
+    return max(2 * least, -(-(size or 0) // BLOCK_BYTES)), max(least, -(-(size or 0) // PART_BYTES))
 
 
 def block_of(id_col: Column, text: Column, blocks: int) -> Column:
