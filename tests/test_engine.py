@@ -260,3 +260,35 @@ def test_statistics_of_saved_tables(spark, small):
     store.refresh_statistics(spark, ["textloom_post"])
     assert spark.table("textloom_post").count() == small["post"].count()
     spark.sql("DROP TABLE textloom_post")
+
+
+def test_diverse_head_and_tail(spark):
+    """The best k in diverse order, then all others by score; greedy order against the plain function."""
+    rows = [(i, f"http://h{i % 3}.org/a/{i}", f"title number {i % 4}", f"alpha beta words{i % 5} here and there number{i}", 10.0 - i // 2) for i in range(30)]
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, url string, title string, text string")
+    hits = spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id long, score double")
+    got = diversity.diversify(hits, docs, ["alpha", "beta"], 8).collect()
+    best = sorted(({"doc_id": r[0], "url": r[1], "title": r[2], "text": r[3], "score": r[4]} for r in rows), key=lambda r: (-r["score"], r["doc_id"]))
+    want = [best[i]["doc_id"] for i in diversity.rerank(best[:8], ["alpha", "beta"])]
+    assert [r.doc_id for r in sorted((r for r in got if r.position), key=lambda r: r.position)] == want
+    assert {r.doc_id for r in got if r.position is None} == {r["doc_id"] for r in best[8:]} and len(got) == 30
+
+
+def test_long_robots_rules(spark):
+    far = "/" + "x" * 3000
+    lines = spark.createDataFrame([("a.org", 0, "User-agent: *"), ("a.org", 1, f"Disallow: {far}y")], "host string, line_no int, value string")
+    urls = spark.createDataFrame([(f"http://a.org{far}y",), (f"http://a.org{far}z",)], "url string")
+    assert [r.url for r in tables.allowed_by_robots(urls, tables.robots_rules(lines)).collect()] == [f"http://a.org{far}z"]
+
+
+def test_parts_of_many_dotted_words_take_linear_time(spark):
+    import time
+
+    from textloom.functions import text
+
+    df = spark.createDataFrame([(" ".join(f"a{i}.b{i % 7}" for i in range(n)),) for n in (100, 20_000)], "t string")
+    sizes = df.select(F.size(text.with_parts(text.tokens(F.col("t")))).alias("n"))
+    sizes.collect()
+    began = time.time()
+    assert [r.n for r in sizes.collect()] == [207, 40_007]
+    assert time.time() - began < 20

@@ -59,6 +59,11 @@ def occurrences(text: Column, phrase: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(phrase), F.lit("")))) / F.lit(len(phrase))).cast("int")
 
 
+def head(text: Column, limit: int | None = None) -> Column:
+    """The first ``limit`` characters where a caller wants only those; the whole text by default."""
+    return text if limit is None else F.substring(text, 1, limit)
+
+
 def strip_tags(html: Column) -> Column:
     """Crude: every tag to a space."""
     return F.regexp_replace(html, "<[^>]+>", " ")

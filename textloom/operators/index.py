@@ -177,6 +177,11 @@ def first_per_url(results: DataFrame) -> DataFrame:
     return results.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def random_sample(results: DataFrame, n: int = 1000, seed: int = 7, key: str = "doc_id") -> DataFrame:
+    """``n`` rows in an order that depends on nothing but key and seed: the same ones on every run and cluster."""
+    return results.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
+
+
 def page_slice(results: DataFrame, page: int, size: int = 25) -> DataFrame:
     """Rows of a page counted from 1, in order of score, then id; only the head is ever sorted whole."""
     return results.orderBy(F.col("score").desc(), "doc_id").limit(page * size).orderBy(F.col("score").desc(), "doc_id").offset((page - 1) * size)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as fx
 from .functions.html import html_extract
-from .functions.snippets import snippet_column
+from .functions.snippets import page_buttons, snippet_column
 from .functions.stem import porter
 from .functions.stop_words import FALLBACK, QUERY
 from .functions.url import domain, normalize_url, path_similarity, short_url
@@ -18,7 +18,7 @@ from .operators import boolean, diversity, graph, index, lookup, phrase, relevan
 from .plans.engine import SearchEngine
 from .plans.parser import ParsedQuery, normalize_operators, parse_query
 from .shipping import ship
-from .sources.tables import html_documents, table, text_documents
+from .sources.tables import allowed_by_robots, html_documents, robots_rules, table, text_documents
 from .streaming.incremental import event_counts as windowed_counts
 from .streaming.incremental import sessions as session_windows
 
@@ -763,14 +763,8 @@ def length_array(spark: SparkSession, sf: str) -> DataFrame:
     return both.select(F.explode(F.arrays_zip("ids", "lengths")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.lengths").alias("n_terms"))
 
 
-@_register(f"WITH {_EDGES} SELECT src, dst FROM e WHERE src < 100 AND dst < 100")
-def relation_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """A corner of the matrix: ids below 100."""
-    return graph.relations_below(_edges(spark, sf), 100)
-
-
 @_register(f"WITH {_EDGES} SELECT src, dst FROM e WHERE src < 6000 AND dst < 6000")
-def relation_matrix_6000(spark: SparkSession, sf: str) -> DataFrame:
+def relation_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """The matrix as far as the reference builds it."""
     return graph.relations_below(_edges(spark, sf))
 
@@ -796,6 +790,158 @@ def ranked_results(spark: SparkSession, sf: str) -> DataFrame:
     return _r(_engine(spark, sf).ranked_page(list(TERMS), _ranks(spark, sf)).drop("snippet"), "score")
 
 
+@_register(f"WITH {_DOCS} SELECT url FROM d WHERE doc_id % 2 = 0")
+def existing_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Of candidate urls, half of them unknown, those that are stored."""
+    docs = _docs(spark, sf)
+    return lookup.existing(docs.select(F.when(F.col("doc_id") % 2 == 0, F.col("url")).otherwise(F.concat("url", F.lit("/new"))).alias("url")), docs)
+
+
+@_register(f"WITH {_DOCS} SELECT doc_id, url FROM d WHERE doc_id % 3 = 0")
+def documents_by_status(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _docs(spark, sf).withColumn("status", F.when(F.col("doc_id") % 3 == 0, "visited").otherwise("queued"))
+    return lookup.by_status(docs, "visited").select("doc_id", "url")
+
+
+@_register(f"WITH {_POST} SELECT term, doc_id, frequency FROM post WHERE term IN ({_list(TERMS)})")
+def postings_of_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.by_terms(_post(spark, sf), TERMS).select("term", "doc_id", "frequency")
+
+
+@_register(f"WITH {_POST}, {_DOCS} SELECT doc_id, url, title FROM d WHERE doc_id IN ({_having('or')})")
+def documents_of_term(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.document_data(lookup.by_ids(_docs(spark, sf), boolean.having_term(_post(spark, sf), "or")))
+
+
+@_register(f"WITH {_POST} SELECT doc_id, frequency FROM post WHERE term = 'que' ORDER BY doc_id LIMIT 100")
+def posting_list_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """The first hundred candidates of a term: the cap is what is asked for."""
+    return lookup.posting_list(_post(spark, sf), "que", 100)
+
+
+_PLACES = f"pw AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{_P}'), lambda x: length(x) > 1 AND x NOT IN ({_list(STOP)})) AS w FROM documents), pl AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS position FROM pw)"
+
+
+@_register(f"WITH {_PLACES} SELECT doc_id, 'p' AS tag, 0 AS element_no, CAST(position AS INTEGER) AS position, term FROM pl")
+def token_positions(spark: SparkSession, sf: str) -> DataFrame:
+    return _tokens(spark, sf)
+
+
+@_register(f"WITH {_PLACES} SELECT doc_id, CAST(position AS INTEGER) AS position FROM pl WHERE term = 'que'")
+def term_positions(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.positions_of(_tokens(spark, sf), "que").select("doc_id", "position")
+
+
+@_register(f"WITH {_PLACES} SELECT doc_id, term FROM pl WHERE doc_id = 1 AND position = 3")
+def token_at(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.at_position(_tokens(spark, sf), 1, 3).select("doc_id", "term")
+
+
+@_register(f"WITH {_POST} SELECT term, frequency FROM post WHERE doc_id = 1")
+def postings_of_document(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.of_document(_post(spark, sf), 1).select("term", "frequency")
+
+
+@_register(f"WITH {_STATS} SELECT term, round(ln((1.0 + n_docs) / (1 + df)) + 1, 6) AS idf FROM stats")
+def idf_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _r(lookup.idf_pairs(_stats(spark, sf)), "idf")
+
+
+@_register("SELECT page_id AS doc_id, url FROM pages WHERE url IS NOT NULL AND page_id % 2 = 1")
+def product_pages_dropped(spark: SparkSession, sf: str) -> DataFrame:
+    """A query that is not about products: pages of a shop, here every other one, go."""
+    shop = F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("/shop/product/1"))).otherwise(F.col("url"))
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), shop.alias("url"), F.lit("t").alias("title"))
+    return relevance.drop_product_pages(pages, TERMS).select("doc_id", "url")
+
+
+@_register(f"WITH {_METRICS}, s AS (SELECT doc_id, sum(tf_idf) AS v FROM met WHERE term IN ({_list(TERMS)}) GROUP BY doc_id) SELECT doc_id, round(v, 6) AS score FROM s ORDER BY CAST(trunc(v) AS INTEGER) DESC, doc_id LIMIT 40")
+def whole_number_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The head of the second ranker's order, in which most scores tie."""
+    hit = _metrics(spark, sf).where(F.col("term").isin(*TERMS)).groupBy("doc_id").agg(F.sum("tf_idf").alias("score"))
+    return _r(relevance.whole_number_order(hit).limit(40), "score")
+
+
+@_register("SELECT doc_id, lang FROM documents ORDER BY md5(concat(CAST(doc_id AS VARCHAR), ':7')), doc_id LIMIT 100")
+def sampled_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """A sample of a hundred: the limit is what is asked for."""
+    return index.random_sample(table(spark, sf, "documents").select("doc_id", "lang"), 100)
+
+
+@_register("SELECT doc_id, substring(text, 1, 500) AS head, length(text) AS n_chars FROM documents")
+def content_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Heads of 500 characters beside the whole length: the head is what is asked for."""
+    return table(spark, sf, "documents").select("doc_id", fx.head(F.col("text"), 500).alias("head"), F.length(fx.head(F.col("text"))).cast("long").alias("n_chars"))
+
+
+@_register("SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS text FROM pages")
+def tags_stripped(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", fx.strip_tags(F.col("html")).alias("text"))
+
+
+def _untidied(extra: bool) -> str:
+    text = "concat('x data:image/png;base64,AAA= y {--c: d} var a = 1; ', text)"
+    rules = [("data:[^\\s]*;base64,[^\\s]*", ""), ("var\\s+[^=]+=\\s*[^;]*;", ""), ("\\{--[^}]*\\}", "")]
+    rules += [("\\{[\"''][^}]*\\}", ""), ("function\\s*\\([^)]*\\)\\s*\\{[^}]*\\}", "[CODE BLOCK]")] if extra else []
+    for old, new in rules:
+        text = f"regexp_replace({text}, '{old}', '{new}', 'g')"
+    return text
+
+
+def _untidy() -> Column:
+    return F.concat(F.lit("x data:image/png;base64,AAA= y {--c: d} var a = 1; "), F.col("text"))
+
+
+@_register(f"SELECT doc_id, trim(regexp_replace(CASE WHEN length(t) > 200 THEN concat(substring(t, 1, 200), '...') ELSE t END, '\\s+', ' ', 'g')) AS text FROM (SELECT doc_id, {_untidied(False)} AS t FROM documents)")
+def descriptions_tidied(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", fx.tidy_description(_untidy()).alias("text"))
+
+
+@_register(
+    f"WITH t AS (SELECT doc_id, {_untidied(True)} AS t FROM documents), h AS (SELECT *, instr(reverse(substring(t, 1, 252)), ' .') AS back FROM t) "
+    "SELECT doc_id, trim(regexp_replace(CASE WHEN length(t) <= 250 THEN t WHEN back > 0 AND length(substring(t, 1, 252)) - back - 1 > 150 THEN substring(t, 1, length(substring(t, 1, 252)) - back) ELSE concat(substring(t, 1, 250), '...') END, '\\s+', ' ', 'g')) AS text FROM h"
+)
+def snippets_tidied(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", fx.tidy_snippet(_untidy()).alias("text"))
+
+
+# Queries and how each is to be understood.
+ANALYSED = (
+    ("machine learning", "keyword", None), ('"machine learning"', "phrase", None), ('"a b" and "c d"', "boolean", "AND"), ('"a b" OR "c d"', "boolean", "OR"), ('"a b" not "c d"', "boolean", "NOT"),
+    ("salt and pepper", "error", None), ('"salt and pepper"', "error", None), ('"a" AND "b" OR "c"', "phrase", None), ('"', "error", None),
+)
+
+
+@_register("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', {'NULL' if op is None else chr(39) + op + chr(39)})" for i, (_, k, op) in enumerate(ANALYSED)) + ") t(n, kind, operator)")
+def query_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    found = [parse_query(q) if q == q.lower() and '"' not in q else _asked(q) for q, _, _ in ANALYSED]
+    return spark.createDataFrame([(i, q.kind, q.operator) for i, q in enumerate(found)], "n int, kind string, operator string")
+
+
+@_register("SELECT p AS page, unnest(range(f, least(12, f + 4) + 1)) AS button FROM (SELECT p, greatest(1, least(p - 2, 8)) AS f FROM (SELECT unnest(range(1, 13)) AS p))")
+def page_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(p, b) for p in range(1, 13) for b in page_buttons(p, 12)], "page long, button long")
+
+
+@_register("SELECT url FROM pages WHERE url IS NOT NULL AND NOT (regexp_matches(url, '^[a-z]+://[^/]*\\.example\\.com(/fr/|/es/1)'))")
+def robots_allowed(spark: SparkSession, sf: str) -> DataFrame:
+    """Robots files of the hosts under example.com, each with a block for one agent and one for all."""
+    urls = table(spark, sf, "pages").where("url IS NOT NULL").select("url")
+    host = F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/?#:]*)", 1)
+    lines = F.array(*(F.lit(x) for x in ("User-agent: bot", "Disallow: /", "User-agent: *", "Disallow: /fr/", "Disallow:", "disallow: /es/1")))
+    files = urls.select(host.alias("host")).where("host LIKE '%.example.com'").distinct().select("host", F.posexplode(lines).alias("line_no", "value"))
+    return allowed_by_robots(urls, robots_rules(files))
+
+
+@_register(f"WITH {o.page_terms(STOP)} SELECT term, doc_id, tag, count(*) AS frequency FROM ew GROUP BY 1, 2, 3")
+def nested_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """The tags of the nested index, read back."""
+    pages = html_documents(table(spark, sf, "pages"))
+    nested = index.nested_index(index.html_tokens(pages, STOP, stem=False), pages)
+    each = nested.select("term", F.explode("documents").alias("d")).select("term", "d.doc_id", F.explode("d.tags").alias("t"))
+    return each.select("term", "doc_id", "t.tag", "t.frequency")
+
+
 # --- changes of stored tables -------------------------------------------------------------------
 
 
@@ -813,6 +959,18 @@ def upsert_postings(spark: SparkSession, sf: str) -> DataFrame:
     return _r(store.merge_postings(post, again), "tf")
 
 
+@_register(f"WITH {_POST} SELECT term, doc_id, CASE WHEN doc_id % 2 = 0 THEN frequency + 1 ELSE frequency END AS frequency FROM post")
+def replaced_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored rows of half of the documents saved again with other values."""
+    post = _post(spark, sf).select("term", "doc_id", "frequency")
+    return store.replace_rows(post, post.where("doc_id % 2 = 0").withColumn("frequency", F.col("frequency") + 1), ["term", "doc_id"])
+
+
+@_register("SELECT doc_id, true AS stamped FROM documents")
+def stamped_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return store.stamped(table(spark, sf, "documents").select("doc_id")).select("doc_id", F.col("last_indexed").isNotNull().alias("stamped"))
+
+
 @_register(f"WITH {_POST} SELECT term, doc_id, frequency FROM post")
 def reindex_twice(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that come again replace their rows: twice is once."""
