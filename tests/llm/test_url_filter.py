@@ -52,3 +52,31 @@ def test_branches_learn_from_labels(spark):
     got = {urls[r.page_id]: r for r in url_filter.judge(df, rules).collect()}
     assert got["http://h.org/ads/55/page1"].verdict == "block" and got["http://h.org/ads/55/page1"].rule is None
     assert got["http://h.org/docs/55/page1"].verdict == "allow"
+
+
+def judged(spark, rules, urls, **options):
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    return {urls[r.page_id]: r for r in url_filter.judge(df, rules, **options).collect()}
+
+
+def test_unlabelled_branches_take_what_their_parent_expects(spark):
+    """Where nearly every branch is blocked, so is a new one; where one large branch is, the others stay."""
+    rules = [url_filter.UrlRule("block", "bad.org", f"/{c}/") for c in "abcdefghijklmnopqrst"] + [url_filter.UrlRule("block", "mixed.org", "/ads/"), url_filter.UrlRule("allow", "good.org", "/")]
+    urls = [f"http://bad.org/{c}/{w}/x" for c in "abcdefghijklmnopqrstz" for w in ("one", "two", "two/deep", "six")]
+    urls += [f"http://mixed.org/{c}/{w}" for c in ("ads", "news", "docs", "blog") for w in ("one", "two", "six")] + [f"http://mixed.org/ads/{i}" for i in range(200)]
+    urls += [f"http://good.org/{i}" for i in range(300)]
+    got = judged(spark, rules, urls)
+    assert got["http://bad.org/z/one/x"].rule is None and got["http://bad.org/z/one/x"].verdict == "block"
+    assert got["http://bad.org/z/one/x"].template == "/{unlabelled}/{unlabelled}/{unlabelled}"
+    for c in ("news", "docs", "blog"):
+        assert got[f"http://mixed.org/{c}/one"].verdict == "allow"
+    assert got["http://bad.org/z/one/x"].purity > got["http://mixed.org/news/one"].purity > got["http://good.org/7"].purity
+
+
+def test_inner_branches_merge_and_deep_paths_end(spark):
+    """Branches of equal shares merge above the leaves, and all below the last level is one branch."""
+    rules = [url_filter.UrlRule(v, "h.org", f"/{top}/{v}/") for top in ("a", "b", "c") for v in ("block", "allow")]
+    urls = [f"http://h.org/{top}/{v}/{x}/y/z{i}/{i}q{x}/end" for top in ("a", "b", "c") for v in ("block", "allow") for x in ("k", "l") for i in range(9)]
+    got = judged(spark, rules, urls)
+    assert {r.template for r in got.values()} == {"/{**}/block/{**}/y/{...}", "/{**}/allow/{**}/y/{...}"}
+    assert {r.purity > 0.8 for u, r in got.items() if "/block/" in u} == {True} and {r.purity < 0.2 for u, r in got.items() if "/allow/" in u} == {True}

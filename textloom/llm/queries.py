@@ -122,6 +122,15 @@ def _url_sql(depth: int = 4) -> str:
     pooled = "(pb * 1.0 / greatest(pn, 1))"
     gap = f"abs(b * 1.0 / greatest(n, 1) - {other_b} * 1.0 / greatest({other_n}, 1))"
     spread = f"sqrt({pooled} * (1 - {pooled}) * (1.0 / greatest(n, 1) + 1.0 / greatest({other_n}, 1)))"
+    merges = ["m0 AS MATERIALIZED (SELECT host, names, CAST(n AS BIGINT) AS n, CAST(b AS BIGINT) AS b, '' AS node, p0 AS e FROM leaf, prior)"]
+    for k in range(1, depth + 2):
+        merges += [
+            f"a{k} AS MATERIALIZED (SELECT *, CASE WHEN len(names) >= {k - 1} THEN coalesce(names[{k}], '') END AS name FROM m{k - 1})",
+            f"b{k} AS MATERIALIZED (SELECT host, node, name, CAST(sum(n) AS BIGINT) AS n, CAST(sum(b) AS BIGINT) AS b FROM a{k} WHERE name IS NOT NULL GROUP BY host, node, name)",
+            f"o{k} AS (SELECT host, node, CAST(sum(n) AS BIGINT) AS pn, CAST(sum(b) AS BIGINT) AS pb, count(*) AS kids, count(*) FILTER (WHERE n > 0) AS known, sum(CASE WHEN n > 0 THEN b * 1.0 / n ELSE 0.0 END) AS shares FROM b{k} GROUP BY host, node)",
+            f"s{k} AS MATERIALIZED (SELECT b{k}.host, b{k}.node, name, kids, known, shares, CASE WHEN name = '' THEN '' WHEN n = 0 THEN '/{{unlabelled}}' WHEN {other_n} > 0 AND {gap} <= 1.96 * {spread} THEN '/{{**}}' ELSE concat('/', name) END AS step FROM b{k} JOIN o{k} ON b{k}.host = o{k}.host AND b{k}.node = o{k}.node)",
+            f"m{k} AS MATERIALIZED (SELECT a.host, names, n, b, concat(a.node, coalesce(step, '')) AS node, coalesce((shares + (4 + kids - known) * e) / (kids + 4), e) AS e FROM a{k} a LEFT JOIN s{k} s ON a.host = s.host AND a.node = s.node AND a.name = s.name)",
+        ]
     return (
         f"WITH h AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN translate(regexp_extract({bare}, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') ELSE '' END AS host, "
         f"CASE WHEN contains(coalesce(url, ''), '://') THEN regexp_extract({bare}, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages), "
@@ -129,13 +138,12 @@ def _url_sql(depth: int = 4) -> str:
         "sh AS (SELECT *, concat('/', coalesce(array_to_string(segs, '/'), '')) AS shape FROM base), "
         "shapes AS (SELECT host, shape, segs, count(given) AS labelled, count(*) FILTER (WHERE given = 'block') AS blocked FROM sh GROUP BY host, shape, segs), "
         f"{', '.join(levels)}, "
-        f"tree AS (SELECT host, shape, labelled, blocked, concat(CASE WHEN node = '' THEN '/' ELSE node END, CASE WHEN len(segs) > {depth} THEN concat('/', array_to_string(segs[{depth + 1}:], '/')) ELSE '' END) AS template FROM t{depth}), "
-        "leaf AS (SELECT host, template, sum(labelled) AS n, sum(blocked) AS b, regexp_replace(template, '/[^/]*$', '') AS up FROM tree GROUP BY host, template), "
-        "par AS (SELECT host, up, sum(n) AS pn, sum(b) AS pb FROM leaf GROUP BY host, up), "
-        f"lm AS (SELECT leaf.host, template, n, b, CASE WHEN n = 0 THEN concat(leaf.up, '/{{unlabelled}}') WHEN {other_n} > 0 AND {gap} <= 1.96 * {spread} THEN concat(leaf.up, '/{{**}}') ELSE template END AS merged FROM leaf JOIN par ON leaf.host = par.host AND leaf.up = par.up), "
-        "prior AS (SELECT (sum(b) + 1) * 1.0 / (sum(n) + 2) AS p0 FROM lm), "
-        "br AS (SELECT host, merged, (sum(b) + 4 * coalesce(any_value(p0), 0.5)) / (sum(n) + 4) AS purity FROM lm, prior GROUP BY host, merged), "
-        "known AS (SELECT tree.host, shape, lm.merged, purity FROM tree JOIN lm ON tree.host = lm.host AND tree.template = lm.template JOIN br ON lm.host = br.host AND lm.merged = br.merged) "
+        f"tree AS MATERIALIZED (SELECT host, shape, labelled, blocked, list_concat(list_filter(string_split(node, '/'), lambda x: x <> ''), CASE WHEN len(segs) > {depth} THEN ['{{...}}'] ELSE [] END) AS names FROM t{depth}), "
+        "leaf AS (SELECT host, names, sum(labelled) AS n, sum(blocked) AS b FROM tree GROUP BY host, names), "
+        "prior AS (SELECT (sum(b) + 1) * 1.0 / (sum(n) + 2) AS p0 FROM leaf), "
+        f"{', '.join(merges)}, "
+        f"br AS (SELECT host, node, (sum(b) + 4 * max(e)) / (sum(n) + 4) AS purity FROM m{depth + 1} GROUP BY host, node), "
+        f"known AS (SELECT tree.host, shape, CASE WHEN br.node = '' THEN '/' ELSE br.node END AS merged, purity FROM tree JOIN m{depth + 1} m ON tree.host = m.host AND tree.names = m.names JOIN br ON m.host = br.host AND m.node = br.node) "
         "SELECT page_id, sh.host, path, rule, coalesce(given, CASE WHEN purity > 0.8 THEN 'block' ELSE 'allow' END) AS verdict, merged AS template, round(purity, 9) AS purity "
         "FROM sh LEFT JOIN known ON sh.host = known.host AND sh.shape = known.shape"
     )

@@ -2,9 +2,10 @@
 
 Stated host and path rules decide first and are the labels.  Paths of a host
 form a tree of segments: lexical classes (numbers, hashes, dates) become
-wildcards, and so does a level where most names are new; sibling branches whose
-labelled shares do not differ statistically are merged; a template is rejected
-by the smoothed share of blocked labels below it.
+wildcards, and so does a level where most names are new; from the host down,
+sibling branches whose labelled shares do not differ statistically are merged;
+a template is rejected by its share of blocked labels, smoothed towards what its
+parent's branches let expect.
 """
 
 from __future__ import annotations
@@ -78,16 +79,27 @@ def judge(
 ) -> DataFrame:
     """``id, host, path, rule, verdict, template, purity`` of every row.
 
-    The tree has ``depth`` levels; deeper segments stay in the last template as
-    they are after lexical generalisation.  A level below a node is a wildcard if
-    it has at least ``min_fan`` names and they number more than ``new_share`` of
-    the distinct paths there.  Two branches count as alike while the z statistic
-    of a branch against its siblings stays within ``z_limit``; branches without
-    any label never join labelled ones.  ``alpha`` pseudo-labels at the overall
-    blocked share smooth the purity; above ``reject_above`` a template is blocked.
+    The tree has ``depth`` levels; all that lies deeper below a node is one branch,
+    ``{...}``.  A level below a node is a wildcard if it has at least ``min_fan``
+    names and they number more than ``new_share`` of the distinct paths there.
+    At every level, a branch joins the merged branch ``{**}`` of its parent while
+    the z statistic of its blocked share against its siblings' stays within
+    ``z_limit``; the children of merged branches then count together.  Branches
+    without a label are ``{unlabelled}`` and never join labelled ones.
+
+    A node expects of a child the mean of its branches' blocked shares, where each
+    unlabelled branch and ``alpha`` more count as what the node's own parent
+    expects (the corpus' blocked share above the host).  Branches count once
+    whatever their size, so a host whose one large branch is blocked is not
+    blocked as a whole.  ``alpha`` pseudo-labels at that value smooth a template's
+    purity; above ``reject_above`` it is blocked.
+
     Null ids, repeated rows and other columns are harmless; an empty table gives
-    no rows.  Counts are aggregated per (host, template) before every shuffle, so
-    a host with a third of all pages is a few rows.
+    no rows; long paths are whole in ``path`` and end in ``{...}`` in ``template``.
+    Counts are aggregated before every shuffle, so a host with a third of all
+    pages is as many rows as it has distinct generalised paths.  Paths with more
+    than a thousandth of all pages (fewer than a thousand of them by that) meet
+    their verdict by broadcast, all others by a shuffled join.
     """
     host, path = host_and_path(F.col(url_col))
     base = pages.select(F.col(id_col).alias(id_col), host.alias("host"), path.alias("path"))
@@ -98,11 +110,27 @@ def judge(
     base = base.withColumn("__shape", F.concat(F.lit("/"), F.array_join("__segs", "/")))
 
     shapes = base.groupBy("host", "__shape", "__segs").agg(
-        F.count("__given").alias("labelled"), F.count(F.when(F.col("__given") == "block", 1)).alias("blocked")
+        F.count("__given").alias("labelled"), F.count(F.when(F.col("__given") == "block", 1)).alias("blocked"), F.count(F.lit(1)).alias("__pages")
     )
-    # a few rows a host; cut here so that the plan does not double at every level
+    # cut here and below so that the plan does not double at every level
     shapes = checkpointed(shapes)
-    # top down: which names below a node are a variable
+    tree = checkpointed(_generalised(shapes, depth, min_fan, new_share))
+    known = _purities(tree, depth, z_limit, alpha)
+
+    often = F.broadcast(shapes.agg(F.sum("__pages").alias("__all")))
+    known = checkpointed(known.join(often).withColumn("__hot", F.col("__pages") * 1000 > F.col("__all")))
+    hot = known.where("__hot").select("host", "__shape", F.col("template").alias("__template"), F.col("purity").alias("__purity"))
+    met = base.join(F.broadcast(hot), ["host", "__shape"], "left")
+    # rows that have met theirs take keys that nothing has, so that they spread
+    key = F.when(F.col("__template").isNull(), F.col("__shape")).otherwise(F.hex(F.monotonically_increasing_id()))
+    judged = met.withColumn("__shape", key).join(known.where("not __hot").select("host", "__shape", "template", "purity"), ["host", "__shape"], "left")
+    purity = F.coalesce("__purity", "purity")
+    verdict = F.coalesce("__given", F.when(purity > reject_above, "block").otherwise("allow"))
+    return judged.select(id_col, "host", "path", "rule", verdict.alias("verdict"), F.coalesce("__template", "template").alias("template"), purity.alias("purity"))
+
+
+def _generalised(shapes: DataFrame, depth: int, min_fan: int, new_share: float) -> DataFrame:
+    """``host, __shape, labelled, blocked, __pages, __names``: top down, variable levels as wildcards."""
     tree = shapes.withColumn("__at", F.lit(""))
     for level in range(1, depth + 1):
         name = F.coalesce(F.get("__segs", F.lit(level - 1)), F.lit(""))
@@ -113,27 +141,39 @@ def judge(
         tree = tree.join(fan.where("__var"), ["host", "__at"], "left")
         step = F.when(F.col("__var") & (F.col("__name") != "") & ~F.col("__name").startswith("{"), "{*}").otherwise(F.col("__name"))
         tree = tree.withColumn("__at", F.when(F.col("__name") == "", F.col("__at")).otherwise(F.concat("__at", F.lit("/"), step))).drop("__var", "__name")
-    rest = F.array_join(F.slice("__segs", F.lit(depth + 1), F.greatest(F.size("__segs"), F.lit(1))), "/")
-    tree = tree.withColumn("template", F.concat(F.when(F.col("__at") == "", "/").otherwise(F.col("__at")), F.when(rest != "", F.concat(F.lit("/"), rest)).otherwise("")))
-    tree = checkpointed(tree.select("host", "__shape", "labelled", "blocked", "template"))
-
-    # merge branches below one parent whose blocked shares cannot be told apart
-    leaf = tree.groupBy("host", "template").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
-    leaf = leaf.withColumn("__parent", F.regexp_replace("template", r"/[^/]*$", ""))
-    parent = leaf.groupBy("host", "__parent").agg(F.sum("n").alias("__n"), F.sum("b").alias("__b"))
-    leaf = leaf.join(parent, ["host", "__parent"])
-    other_n, other_b = F.col("__n") - F.col("n"), F.col("__b") - F.col("b")
-    pooled = F.col("__b") / F.greatest(F.col("__n"), F.lit(1))
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("n"), F.lit(1)) + 1 / F.greatest(other_n, F.lit(1))))
-    gap = F.abs(F.col("b") / F.greatest(F.col("n"), F.lit(1)) - other_b / F.greatest(other_n, F.lit(1)))
-    alike = (F.col("n") > 0) & (other_n > 0) & (gap <= z_limit * spread)
-    merged = F.when(F.col("n") == 0, F.concat("__parent", F.lit("/{unlabelled}"))).when(alike, F.concat("__parent", F.lit("/{**}"))).otherwise(F.col("template"))
-    leaf = leaf.withColumn("merged", merged).select("host", "template", "merged", "n", "b")
-    total = leaf.agg(((F.sum("b") + 1) / (F.sum("n") + 2)).alias("__prior"))
-    branch = leaf.groupBy("host", "merged").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).join(F.broadcast(total))
-    branch = branch.withColumn("purity", (F.col("b") + alpha * F.coalesce("__prior", F.lit(0.5))) / (F.col("n") + alpha)).select("host", "merged", "purity")
-    known = tree.select("host", "__shape", "template").join(leaf.select("host", "template", "merged"), ["host", "template"]).join(branch, ["host", "merged"]).select("host", "__shape", "merged", "purity")
-
-    judged = base.join(known, ["host", "__shape"], "left")
-    verdict = F.coalesce("__given", F.when(F.col("purity") > reject_above, "block").otherwise("allow"))
-    return judged.select(id_col, "host", "path", "rule", verdict.alias("verdict"), F.col("merged").alias("template"), "purity")
+    names = F.filter(F.split("__at", "/"), lambda x: x != "")
+    names = F.when(F.size("__segs") > depth, F.concat(names, F.array(F.lit("{...}")))).otherwise(names)
+    return tree.select("host", "__shape", "labelled", "blocked", "__pages", names.alias("__names"))
+
+
+def _purities(tree: DataFrame, depth: int, z_limit: float, alpha: float) -> DataFrame:
+    """``host, __shape, __pages, template, purity``: similar branches merged level by level, shares smoothed on the way."""
+    prior = tree.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("__expect"))
+    leaves = tree.groupBy("host", "__names").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
+    leaves = leaves.join(F.broadcast(prior)).withColumn("__at", F.lit(""))
+    share = F.col("b") / F.greatest(F.col("n"), F.lit(1))
+    for level in range(1, depth + 2):
+        # a path that ended above has no name here; one that ends at this node is its child ""
+        name = F.when(F.size("__names") >= level - 1, F.coalesce(F.get("__names", F.lit(level - 1)), F.lit("")))
+        leaves = leaves.withColumn("__name", name)
+        branch = leaves.where(F.col("__name").isNotNull()).groupBy("host", "__at", "__name").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+        node = branch.groupBy("host", "__at").agg(
+            F.sum("n").alias("__n"), F.sum("b").alias("__b"), F.count(F.lit(1)).alias("__kids"),
+            F.count(F.when(F.col("n") > 0, 1)).alias("__known"), F.sum(F.when(F.col("n") > 0, share).otherwise(0.0)).alias("__shares"),
+        )
+        branch = branch.join(node, ["host", "__at"])
+        other_n, other_b = F.col("__n") - F.col("n"), F.col("__b") - F.col("b")
+        pooled = F.col("__b") / F.greatest(F.col("__n"), F.lit(1))
+        spread = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("n"), F.lit(1)) + 1 / F.greatest(other_n, F.lit(1))))
+        gap = F.abs(share - other_b / F.greatest(other_n, F.lit(1)))
+        alike = (F.col("n") > 0) & (other_n > 0) & (gap <= z_limit * spread)
+        step = F.when(F.col("__name") == "", "").when(F.col("n") == 0, "/{unlabelled}").when(alike, "/{**}").otherwise(F.concat(F.lit("/"), "__name"))
+        branch = branch.select("host", "__at", "__name", step.alias("__step"), "__kids", "__known", "__shares")
+        leaves = leaves.join(branch, ["host", "__at", "__name"], "left")
+        expect = (F.col("__shares") + (alpha + F.col("__kids") - F.col("__known")) * F.col("__expect")) / (F.col("__kids") + alpha)
+        at = F.concat("__at", F.coalesce("__step", F.lit("")))
+        leaves = checkpointed(leaves.select("host", "__names", "n", "b", at.alias("__at"), F.coalesce(expect, "__expect").alias("__expect")))
+    # paths of one template ended at one node, which expects one value
+    merged = leaves.groupBy("host", "__at").agg(((F.sum("b") + alpha * F.max("__expect")) / (F.sum("n") + alpha)).alias("purity"))
+    named = tree.join(leaves.select("host", "__names", "__at"), ["host", "__names"]).join(merged, ["host", "__at"])
+    return named.select("host", "__shape", "__pages", F.when(F.col("__at") == "", "/").otherwise(F.col("__at")).alias("template"), "purity")
