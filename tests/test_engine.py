@@ -1,3 +1,4 @@
+import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -292,3 +293,19 @@ def test_parts_of_many_dotted_words_take_linear_time(spark):
     began = time.time()
     assert [r.n for r in sizes.collect()] == [207, 40_007]
     assert time.time() - began < 20
+
+
+def test_nearest_against_all_pairs(spark):
+    """Many blocks and slabs, ties, repeats of one set, empty and null sets, queries that are like nothing."""
+    rng = random.Random(5)
+    sets = {i: sorted({f"w{int(rng.random() ** 2 * 40)}" for _ in range(rng.randrange(1, 15))}) for i in range(120)}
+    sets |= {120: [], 121: None, 122: sets[0], 123: sets[0], 140: sets[7], 160: ["alone"], 180: []}
+    df = spark.createDataFrame(list(sets.items()), "doc_id long, w array<string>")
+    want = set()
+    for q in (i for i in sets if i % 20 == 0 and sets[i]):
+        near = sorted((-len(set(sets[q]) & set(w)) / len(set(sets[q]) | set(w)), d) for d, w in sets.items() if d != q and w and set(w) & set(sets[q]))
+        want |= {(q, d, -j) for j, d in near[:6]}
+    for options in ({}, {"block": 2, "slab": 11}):
+        got = [tuple(r) for r in diversity.nearest(df, df.where("doc_id % 20 = 0"), 6, **options).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert diversity.nearest(df.limit(0), df.limit(0)).count() == 0

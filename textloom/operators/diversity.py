@@ -1,12 +1,13 @@
-"""Diverse order of one query's best results by maximal marginal relevance."""
+"""Likeness by sets of words: neighbours of documents, and one query's best results in diverse order."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -88,8 +89,6 @@ def diversify(results: DataFrame, docs: DataFrame, terms: Sequence[str], k: int
     sequential, so one query's top ``k`` is one group and nothing larger ever is.  Results
     beyond it have no position: they follow in order of score, then id.
     """
-    from pyspark.sql import Window
-
     ship(results.sparkSession)
     by = "query_id"
     keyed = results if by in results.columns else results.withColumn(by, F.lit(0))
@@ -110,3 +109,75 @@ def diversify(results: DataFrame, docs: DataFrame, terms: Sequence[str], k: int
     last = top.groupBy(by).agg(F.max_by(F.struct("score", "doc_id"), "__n").alias("__last"))
     rest = keyed.join(F.broadcast(last), by).where((F.col("score") < F.col("__last.score")) | ((F.col("score") == F.col("__last.score")) & (F.col("doc_id") > F.col("__last.doc_id"))))
     return first.unionByName(rest.select(by, F.col("doc_id").cast("long").alias("doc_id"), F.col("score").cast("double").alias("score"), F.lit(None).cast("int").alias("position")))
+
+
+def nearest(sets: DataFrame, queries: DataFrame, k: int = 20, block: int = 2000, slab: int = 5000) -> DataFrame:
+    """``query_id, doc_id, jaccard``: of every query the ``k`` most alike documents, itself left out, ties by least id.
+
+    Both tables have doc_id (unique, not null) and w, an array of distinct words;
+    null and empty sets are like nothing, and documents without a common word are
+    no neighbours.  Queries meet documents in blocks of about ``block`` against slabs
+    of about ``slab``; every pair of the two is a task that turns the block into
+    posting lists, counts the words a document shares with each query, and answers
+    with ``k`` rows a query.  Exact; the work is the number of queries times that
+    of documents, as in any search of all rows, and no pair leaves its task but the best.
+    """
+    ship(sets.sparkSession)
+    filled = [x.select(F.col("doc_id").cast("long").alias("doc_id"), "w").where(F.size("w") > 0) for x in (queries, sets)]
+    n_blocks, n_slabs = (max(1, -(-x.count() // size)) for x, size in zip((queries, sets), (block, slab), strict=True))
+    # a task for each core at least: slabs are smaller where the tables are
+    n_slabs = max(n_slabs, -(-sets.sparkSession.sparkContext.defaultParallelism // n_blocks))
+
+    def dealt(x: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        x = x.withColumn(own, F.pmod(F.xxhash64("doc_id"), F.lit(n_own)).cast("int"))
+        return x.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    asked = dealt(filled[0], "__block", n_blocks, "__slab", n_slabs)
+    given = dealt(filled[1], "__slab", n_slabs, "__block", n_blocks)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = pd.DataFrame(_nearest_in(left["doc_id"].to_numpy(), list(left["w"]), right["doc_id"].to_numpy(), list(right["w"]), k), columns=["query_id", "doc_id", "jaccard"])
+        return rows.astype({"query_id": "int64", "doc_id": "int64", "jaccard": "float64"})
+
+    keys = ["__block", "__slab"]
+    some = asked.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInPandas(best, "query_id long, doc_id long, jaccard double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("jaccard").desc(), "doc_id"))
+    return some.withColumn("__n", place).where(F.col("__n") <= k).drop("__n")
+
+
+def _nearest_in(query_ids: np.ndarray, query_sets: list, ids: np.ndarray, sets: list, k: int) -> Iterator[tuple[int, int, float]]:
+    """The ``k`` nearest of ``sets`` to each query, by posting lists of the queries."""
+    if not len(query_ids) or not len(ids):
+        return
+    lists: dict[str, list[int]] = {}
+    for i, words in enumerate(query_sets):
+        for w in words:
+            lists.setdefault(w, []).append(i)
+    postings = {w: np.array(x, np.int32) for w, x in lists.items()}
+    sizes = np.array([len(x) for x in query_sets])
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def reduce() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, d, j = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.lexsort((d, -j, q))
+        q, d, j = q[order], d[order], j[order]
+        starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        first = np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+        top = np.arange(len(q)) - first < k
+        return q[top], d[top], j[top]
+
+    for doc, words in zip(ids, sets, strict=True):
+        found = [postings[w] for w in words if w in postings]
+        if not found:
+            continue
+        shared = np.bincount(np.concatenate(found), minlength=len(sizes))
+        at = np.flatnonzero((shared > 0) & (query_ids != doc))
+        kept.append((at, np.full(len(at), doc), shared[at] / (sizes[at] + len(words) - shared[at])))
+        waiting += len(at)
+        if waiting > 1_000_000 + 2 * k * len(sizes):
+            kept = [reduce()]
+            waiting = len(kept[0][0])
+    if waiting:
+        for q, d, j in zip(*(x.tolist() for x in reduce()), strict=True):
+            yield int(query_ids[q]), d, j

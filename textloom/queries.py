@@ -617,15 +617,15 @@ def field_weighted_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_register(
-    f"WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '{_P}')) AS w FROM documents), q AS (SELECT w AS qw FROM s WHERE doc_id = 0) "
-    "SELECT doc_id, round(CASE WHEN len(w) = 0 OR len(qw) = 0 THEN 0 ELSE len(list_intersect(w, qw)) * 1.0 / len(list_distinct(list_concat(w, qw))) END, 6) AS jaccard FROM s, q WHERE doc_id <> 0 ORDER BY 2 DESC, doc_id LIMIT 20"
+    f"WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '{_P}')) AS w FROM documents), q AS (SELECT doc_id AS query_id, w AS qw FROM s WHERE doc_id % 20 = 0), "
+    "c AS (SELECT query_id, doc_id, len(w) AS n, len(qw) AS m, len(list_intersect(w, qw)) AS k FROM s JOIN q ON doc_id <> query_id), "
+    "j AS (SELECT query_id, doc_id, k * 1.0 / (n + m - k) AS j FROM c WHERE k > 0), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY j DESC, doc_id) AS place FROM j) SELECT query_id, doc_id, round(j, 6) AS jaccard FROM r WHERE place <= 20"
 )
 def jaccard_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents most like document 0 by their sets of tokens."""
+    """The 20 documents most like each document whose id is divisible by 20, by their sets of tokens."""
     sets = _docs(spark, sf).select("doc_id", F.array_distinct(fx.tokens(F.col("text"))).alias("w"))
-    one = F.broadcast(sets.where("doc_id = 0").select(F.col("w").alias("q")))
-    j = F.when((F.size("w") == 0) | (F.size("q") == 0), 0.0).otherwise(F.size(F.array_intersect("w", "q")) / F.size(F.array_union("w", "q")))
-    return _r(sets.where("doc_id <> 0").join(one).select("doc_id", F.round(j, 6).alias("jaccard")).orderBy(F.col("jaccard").desc(), "doc_id").limit(20), "jaccard")
+    return _r(diversity.nearest(sets, sets.where("doc_id % 20 = 0"), 20), "jaccard")
 
 
 @_register()
