@@ -63,6 +63,12 @@ def test_html():
     assert html.extract(None)["text"] == "" and html.extract("<p")["elements"] == []
 
 
+def test_references_need_their_semicolon():
+    x = html.extract('<title>a &amp;&amp; b&amp</title><p>&am &copy &ampx; &lt;&#38;&#x26; \ufdd0</p><code>1 &lt 2</code><a href="/x?a=1&copy=2&amp;b=3">l</a>')
+    assert x["title"] == "a && b&amp" and x["elements"][1]["text"] == "&am &copy &ampx; <&& \ufdd0"
+    assert x["code"] == "1 &lt 2" and x["hrefs"] == ["/x?a=1&copy=2&b=3"] and "b&amp" in x["text"]
+
+
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
