@@ -66,6 +66,7 @@ def test_html():
 def test_references_need_their_semicolon():
     x = html.extract('<title>a &amp;&amp; b&amp</title><p>&am &copy &ampx; &lt;&#38;&#x26; \ufdd0</p><code>1 &lt 2</code><a href="/x?a=1&copy=2&amp;b=3">l</a>')
     assert x["title"] == "a && b&amp" and x["elements"][1]["text"] == "&am &copy &ampx; <&& \ufdd0"
+    assert html.hrefs('<a href="/a?b&amp"><noscript><a HREF=c></noscript>') == ["/a?b&amp", "c"] and html.hrefs(None) == []
     assert x["code"] == "1 &lt 2" and x["hrefs"] == ["/x?a=1&copy=2&b=3"] and "b&amp" in x["text"]
 
 
@@ -115,3 +116,21 @@ def test_tidy(spark):
     got = spark.createDataFrame(rows, "t string").select(text.tidy_description(F.col("t")).alias("d"), text.tidy_snippet(F.col("t")).alias("s")).collect()
     assert got[0].d.startswith("x y z w") and got[0].d.endswith("...") and got[2].d == "short text" and got[2].s == "short text"
     assert got[1].s == ("a. " * 60).strip()
+
+
+def test_batches_to_python_are_small(spark):
+    """Also outside the corpus operators: rows are whole texts and pages, so a batch must not be 10,000 of them."""
+    from textloom.shipping import ship
+    from textloom.sources.tables import html_documents, html_links
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    ship(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    ship(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old["spark.sql.execution.arrow.maxRecordsPerBatch"])
+    pages = spark.createDataFrame([(i, f"http://h/{i}", PAGE) for i in range(20)], "page_id long, url string, html string")
+    assert sorted(html_links(pages).collect()) == sorted(html_documents(pages).select("doc_id", "url", "hrefs").collect())
