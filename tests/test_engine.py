@@ -309,3 +309,33 @@ def test_nearest_against_all_pairs(spark):
         got = [tuple(r) for r in diversity.nearest(df, df.where("doc_id % 20 = 0"), 6, **options).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert diversity.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_forward_rows_give_the_postings_without_an_exchange(spark):
+    texts = [(1, "b a a c.d a"), (2, None), (3, ""), (4, "the the"), (5, "walking walked walks the"), (6, "zz b")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for rows in (texts, texts + [(1, "a new"), (None, "x yy")]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        for parts, stem in ((False, False), (True, True)):
+            unique = index.unrepeated(docs)
+            assert unique == (len(rows) == len(texts))
+            lengths = index.doc_lengths(docs, parts=parts)
+            want = index.postings(index.text_tokens(docs, ("the",), parts, stem), lengths)
+            ahead = index.forward(docs, ("the",), parts, stem)
+            assert "Exchange hash" not in ahead._jdf.queryExecution().executedPlan().toString()
+            got = index.forward_postings(ahead, unique)
+            assert sorted(got.drop("n_terms").collect(), key=repr) == sorted(want.collect(), key=repr)
+            assert sorted(ahead.select("doc_id", "n_terms").collect(), key=repr) == sorted(lengths.collect(), key=repr)
+            some = index.forward_postings(index.forward(docs, ("the",), parts, stem, only=["walk", "b"]), unique)
+            assert sorted(some.drop("n_terms").collect(), key=repr) == sorted(want.where("term IN ('walk', 'b')").collect(), key=repr)
+
+
+def test_nested_rows_are_the_nested_index_flat(spark):
+    docs = spark.createDataFrame([(1, "u1", "t1", "aa bb aa"), (2, "u2", "t2", "bb"), (2, "u3", "t3", "cc bb"), (3, "u4", None, "")], "doc_id long, url string, title string, text string")
+    for part in (docs, docs.where("doc_id <> 2")):
+        nested = index.nested_index(index.text_tokens(part), part)
+        want = nested.select("term", "total_frequency", F.explode("documents").alias("d")).select("term", "d.doc_id", "d.url", "d.title", "d.frequency", "total_frequency")
+        unique = index.unrepeated(part)
+        got = index.nested_rows(index.postings(index.text_tokens(part)), part, unique)
+        assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)

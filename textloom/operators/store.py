@@ -25,7 +25,8 @@ def add_counts(old: DataFrame, new: DataFrame, keys: Sequence[str], count: str =
 
 def merge_postings(old: DataFrame, new: DataFrame) -> DataFrame:
     """Frequencies add up, the newer tf wins, the larger importance stays."""
-    both = old.withColumn("__age", F.lit(0)).unionByName(new.withColumn("__age", F.lit(1)))
+    # dealt out first: hardly a key repeats, so an aggregation before the exchange would only fill memory and spill
+    both = old.withColumn("__age", F.lit(0)).unionByName(new.withColumn("__age", F.lit(1))).repartition("doc_id")
     return both.groupBy("term", "doc_id").agg(F.sum("frequency").alias("frequency"), F.max_by("tf", "__age").alias("tf"), F.max("importance").alias("importance"))
 
 
