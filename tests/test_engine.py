@@ -339,3 +339,13 @@ def test_nested_rows_are_the_nested_index_flat(spark):
         got = index.nested_rows(index.postings(index.text_tokens(part)), part, unique)
         assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
         assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)
+
+
+def test_nearest_exchanges_no_documents(spark):
+    rows = [(i, [f"w{j}" for j in range(i % 7, i % 7 + 5)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, w array<string>")
+    asked = df.where("doc_id % 20 = 0")
+    whole = diversity.nearest(df, asked, 3)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan and "Repartition" not in plan
+    assert {tuple(r) for r in diversity.nearest(df, asked, 3, words=4).collect()} == {tuple(r) for r in whole.collect()}
