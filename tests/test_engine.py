@@ -349,3 +349,17 @@ def test_nearest_exchanges_no_documents(spark):
     plan = whole._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "CoGroup" not in plan and "Repartition" not in plan
     assert {tuple(r) for r in diversity.nearest(df, asked, 3, words=4).collect()} == {tuple(r) for r in whole.collect()}
+
+
+def test_a_query_builds_no_whole_index(spark):
+    """Before the index is built a query makes tables of its own terms; afterwards it reads the index, with the same answers."""
+    rows = [(i, f"http://h.org/{i}", f"t{i}", f"walking dogs {'bark loudly ' * (i % 3)}and {'run ' * i}" + "filler " * 60) for i in range(1, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, url string, title string, text string")
+    new, built = SearchEngine(docs), SearchEngine(docs)
+    built.build_index()
+    ranks = docs.select(F.col("doc_id").alias("id"), F.lit(0.125).alias("rank"))
+    for query in ("dog bark run", '"bark loudly"', '"walking dogs" and "bark loudly"'):
+        assert sorted(new.scored(new.analyze(query)).collect()) == sorted(built.scored(built.analyze(query)).collect()) != []
+    assert sorted(new.mixed_boolean('"walking dogs" NOT bark').collect()) == sorted(built.mixed_boolean('"walking dogs" NOT bark').collect()) != []
+    assert new.ranked_page(["dog", "run"], ranks).collect() == built.ranked_page(["dog", "run"], ranks).collect() != []
+    assert "postings" not in new.__dict__
