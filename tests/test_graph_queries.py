@@ -33,3 +33,22 @@ def test_all_iterations_of_the_constant_teleport(spark, tmp_path):
     assert [got[i] for i in range(1, n + 1)] == pytest.approx(ranks[100].tolist(), abs=1e-12)
     shown = {r.id: r["rank"] for r in queries.QUERIES["pagerank_fixed_full"](spark, str(tmp_path)).collect()}
     assert shown == {i: round(x, 9) for i, x in got.items()}
+
+
+def test_rounds_that_move_nothing_are_left_out(spark, monkeypatch):
+    """From the third round on a short chain stands still; a ring with a way in goes on for longer and keeps all its rounds."""
+    calls = []
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: calls.append(1) or cut(df))
+    nodes = spark.range(1, 5)
+    chain = spark.createDataFrame([(1, 2), (2, 3), (2, None)], "src long, dst long")
+    got = {r.id: r.rank for r in graph.page_rank(nodes, chain, False, 100, None).collect()}
+    t = 0.15 / 4
+    assert got == pytest.approx({1: t, 2: t + 0.85 * t, 3: t + 0.425 * (t + 0.85 * t), 4: t}, abs=1e-15)
+    assert len(calls) <= 3
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 2)], "src long, dst long")
+    some = {r.id: r.rank for r in graph.page_rank(nodes, ring, False, 12, None).collect()}
+    ranks = dict.fromkeys(range(1, 5), 0.25)
+    for _ in range(12):
+        ranks = {1: t, 2: t + 0.85 * (ranks[1] + ranks[3]), 3: t + 0.85 * ranks[2], 4: t}
+    assert some == pytest.approx(ranks, abs=1e-15)
